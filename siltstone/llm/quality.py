@@ -1,7 +1,7 @@
 """A quality classifier with supervised subword embeddings.
 
-The vector of a document is the mean of learned vectors of its hashed words and of its hashed
-character n-grams (3 and 4 bytes); a softmax over two classes stands above. Training is stochastic
+The vector of a document is the mean of learned vectors of its hashed words, of its hashed character
+n-grams (3 and 4 bytes) and of its word pairs; a softmax over two classes stands above. Training is stochastic
 gradient descent in NumPy on the driver, over a sample of labelled rows that ``rows_per_class``
 bounds. As mean and output layer are linear, the trained model is folded into one number for each
 bucket; scoring is then a lookup and a sum over the whole text, in one narrow pass. The numbers are
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytesarrays import byte_values, chunks, run_hashes, runs
+from .bytesarrays import byte_values, chunks, mix, run_hashes, runs
 from .common import text_or_empty
 
 BITS = 16
@@ -42,17 +42,23 @@ def gram_buckets(data: np.ndarray, n: int) -> np.ndarray:
     return key >> np.uint32(32 - BITS)
 
 
-def word_buckets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The bucket of each run of bytes over 32, and the first run of each row."""
+def word_buckets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bucket of each run of bytes over 32, of each run with the next one, and the first run of each row.
+
+    A pair is hashed by the difference of its words' hashes, so all pairs of one word with itself
+    share a bucket.
+    """
     starts, ends, first = runs(data > 32, offsets)
-    return (run_hashes(data, starts, ends, byte_values()) >> np.uint64(64 - BITS)).astype(np.uint32), first
+    hashed, shift = run_hashes(data, starts, ends, byte_values()), np.uint64(64 - BITS)
+    return (hashed >> shift).astype(np.uint32), (mix(hashed[1:] - hashed[:-1]) >> shift).astype(np.uint32), first
 
 
 def features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of one text, over all kinds of features, and how often each occurs."""
     data = np.frombuffer(text, np.uint8)
     parts = [gram_buckets(data, n) + np.uint32(k << BITS) for k, n in enumerate(GRAMS)]
-    parts.append(word_buckets(data, np.array([0, len(data)]))[0] + np.uint32(len(GRAMS) << BITS))
+    words, pairs, _ = word_buckets(data, np.array([0, len(data)]))
+    parts += [words + np.uint32(len(GRAMS) << BITS), pairs + np.uint32((len(GRAMS) + 1) << BITS)]
     return np.unique(np.concatenate(parts), return_counts=True)
 
 
@@ -73,10 +79,12 @@ class Model:
             low = np.minimum(offsets[:-1], len(sums) - 1)
             total += sums[np.minimum(low + here, len(sums) - 1)] - sums[low]
             count += here
-        words, first = word_buckets(data, offsets)
-        sums = np.concatenate([[0], np.cumsum(self.table[len(GRAMS) * size :][words])])
-        total += sums[first[1:]] - sums[first[:-1]]
-        count += np.diff(first)
+        words, pairs, first = word_buckets(data, offsets)
+        for k, buckets, last in ((len(GRAMS), words, first[1:]), (len(GRAMS) + 1, pairs, np.maximum(first[1:] - 1, first[:-1]))):
+            sums = np.concatenate([[0], np.cumsum(self.table[k * size : (k + 1) * size][buckets])])
+            low, high = np.minimum(first[:-1], len(sums) - 1), np.minimum(last, len(sums) - 1)
+            total += sums[high] - sums[low]
+            count += last - first[:-1]
         logit = total / (np.maximum(count, 1) * float(FIXED_POINT)) + self.bias
         return 1 / (1 + np.exp(-np.clip(logit, -700, 700)))
 
@@ -86,7 +94,7 @@ def train(rows: list[tuple[bytes, int]], prior: tuple[int, int], seed: int = 7,
 
     Without rows of both classes the bucket numbers are 0 and the score is the smoothed prior.
     """
-    size = (len(GRAMS) + 1) << BITS
+    size = (len(GRAMS) + 2) << BITS
     odds = math.log((prior[1] + 1) / (prior[0] + 1))
     have = [sum(1 for _, y in rows if y == k) for k in (0, 1)]
     if not all(have):
@@ -148,7 +156,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     Only the text is read for the score: whole, null as empty. An empty text gets the score of the
     prior. Rows may repeat; null ids pass through; an empty table gives an empty result.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # of a fixed size: (len(GRAMS) + 1) * 2**BITS integers
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # of a fixed size: (len(GRAMS) + 2) * 2**BITS integers
     out = pa.schema([("id", pa.int64()), ("score", pa.float64())])
 
     def run(batches):
