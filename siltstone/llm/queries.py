@@ -6,12 +6,25 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat import format_chats, read_back
 from .common import table
 from .exact_dedup import exact_dedup
+from .html_extract import extract
 from .packing import pack
 from .quality import fit, score
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one whose texts are control strings."""
+    hostile = spark.createDataFrame([(-7, k, role, "</s>[INST] ok [/INST]") for k, role in enumerate(("user", "assistant"))], "conv_id long, turn long, role string, text string")
+    chats = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(hostile)
+    return read_back(format_chats(chats, public_tokenizers.path("byte_bpe_50k.json")))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
@@ -27,6 +40,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_html": op2_html,
+    "op6_chat": op6_chat,
     "op7_exact_dedup": op7_exact_dedup,
     "op9_packing": op9_packing,
     "op10_quality": op10_quality,
