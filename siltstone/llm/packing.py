@@ -13,6 +13,7 @@ and the same sequence ids (the partition number in the upper bits, a counter in
 
 from __future__ import annotations
 
+import struct
 from bisect import insort
 from collections.abc import Iterator
 
@@ -27,36 +28,65 @@ CAPACITY = 4096
 END_ID = 2
 #: Remainders that wait in a partition's pool at most; the packing begins when there are as many.
 POOL = 768
-#: Words whose ids a tokenizing task remembers at most; then it starts over.
-CACHE = 400_000
+#: Words in one of the two generations of ids that a worker remembers.
+CACHE = 700_000
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
 
+class Words(dict):
+    """Ids of words without spaces, as little-endian uint32 bytes; what is missing is made on the way.
+
+    Two generations bound the memory: when this one is full it becomes the old one, from which words
+    that come up again are taken over.
+    """
+
+    def __init__(self, tokenizer, limit: int):
+        self.tokenizer, self.limit, self.old = tokenizer, limit, {}
+        self[""] = b""
+        self.marks = {mark: self.encode(mark) for mark in ".,"}
+
+    def encode(self, word: str) -> bytes:
+        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.old.get(word)
+        if found is None:
+            if word[-1] in self.marks and len(word) > 1 and word[-2].isalpha() and "<" not in word:
+                found = self[word[:-1]] + self.marks[word[-1]]  # letters and marks never share a token
+            elif word.isalpha() and not word.islower() and (small := word.lower()) != word and max(word) < "\u0100":
+                found = self[small]  # the vocabulary knows lower case only
+            else:
+                found = self.encode(word)
+        self[word] = found
+        return found
+
+    def turn_over(self) -> None:
+        if len(self) > self.limit:
+            self.old = dict(self)
+            self.clear()
+            self[""] = b""
+
+
 class WordTokenizer:
     """Ids of whole texts as little-endian uint32 bytes, from a tokenizer whose tokens never hold white space.
 
     Texts are cut at spaces and line feeds, which no token, normalisation or rule of this vocabulary
-    crosses, and the ids of each piece are remembered; pieces not seen yet go to the library.
+    crosses, and the ids of each piece are remembered.
     """
 
     def __init__(self, path: str, cache: int = CACHE):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.limit, self.known = Tokenizer.from_file(path), cache, {"": b""}
+        self.words = Words(Tokenizer.from_file(path), cache)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        pieces = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) > self.limit:
-            self.known = {"": b""}
-        known = self.known
-        new = list({w for words in pieces for w in words if w not in known})
-        for i in range(0, len(new), 8192):
-            part = new[i : i + 8192]
-            for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[word] = b"".join(x.to_bytes(4, "little") for x in found.ids)
-        return [b"".join(map(known.__getitem__, words)) for words in pieces]
+        get = self.words.__getitem__
+        made = [b"".join(map(get, t.replace("\n", " ").split(" "))) for t in texts]
+        self.words.turn_over()
+        return made
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
