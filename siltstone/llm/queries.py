@@ -15,6 +15,7 @@ from .html_extract import extract
 from .minhash import near_duplicates
 from .packing import pack
 from .quality import fit, score
+from .suffix_dedup import repeated_spans
 
 
 def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +31,12 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeated_spans(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s["end"] - s["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and one whose texts are control strings."""
     hostile = spark.createDataFrame([(-7, k, role, "</s>[INST] ok [/INST]") for k, role in enumerate(("user", "assistant"))], "conv_id long, turn long, role string, text string")
@@ -68,6 +75,7 @@ QUERIES = {
     "op2_html": op2_html,
     "op3_minhash": op3_minhash,
     "op4_decontamination": op4_decontamination,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_chat": op6_chat,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_pii": op8_pii,
