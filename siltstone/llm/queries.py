@@ -12,12 +12,18 @@ from .common import table
 from .decontam import contamination
 from .exact_dedup import exact_dedup
 from .html_extract import extract
+from .line_dedup import line_dedup
 from .minhash import near_duplicates
 from .packing import pack
 from .quality import fit, score
 from .suffix_dedup import repeated_spans
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_kept", "n_links", "class_id", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
@@ -72,6 +78,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_html": op2_html,
     "op3_minhash": op3_minhash,
     "op4_decontamination": op4_decontamination,
