@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -166,3 +167,18 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(F.col(text_col)).cast("binary").alias("body"))
     scored = rows.mapInArrow(run, "id long, score double")
     return scored.select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text scores at least ``threshold``; cases as in ``score``."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            body = pc.fill_null(batch.column(at).cast(pa.string()), "").cast(pa.binary())
+            for part, data, offsets in chunks([pa.RecordBatch.from_arrays([body, pa.array(np.arange(len(body)))], ["body", "i"])], 0):
+                good = sent.value.scores(data, offsets) >= threshold
+                yield batch.slice(part.column(1)[0].as_py(), part.num_rows).filter(pa.array(good))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -90,7 +92,42 @@ QUERIES = {
     "op10_quality": op10_quality,
 }
 
+_LOWER = f"translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
+_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
 ORACLE_SQL = {
+    "op1_line_dedup": """
+        WITH s AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+             l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS line_no FROM s),
+             f AS (SELECT line, min({'d': doc_id, 'n': line_no}) AS first FROM l WHERE line <> '' GROUP BY line),
+             m AS (SELECT line AS x, length(line) AS n, first FROM f WHERE length(line) >= 20),
+             p AS (SELECT a.x, b.x AS y, a.first AS fx, b.first AS fy FROM m a JOIN m b ON (a.n = b.n AND a.x < b.x) OR a.n = b.n + 1
+                   WHERE levenshtein(a.x, b.x) <= 4 -- bytes; the exact test on characters follows
+                     AND CASE WHEN a.n = b.n THEN len(list_filter(range(1, a.n + 1), lambda i: a.x[i] <> b.x[i])) = 1
+                              ELSE len(list_filter(range(0, a.n), lambda i: a.x[1:i] || a.x[i + 2:] = b.x)) > 0 END),
+             k AS (SELECT line, min(other) AS best, count(*) AS n_links
+                   FROM (SELECT x AS line, fy AS other FROM p UNION ALL SELECT y, fx FROM p) GROUP BY line),
+             c AS (SELECT doc_id, line_no, line, line = '' OR least(first, coalesce(best, first)) = {'d': doc_id, 'n': line_no} AS kept,
+                          coalesce(n_links, 0) AS n_links, least(first, coalesce(best, first)).d AS class_doc
+                   FROM l LEFT JOIN f USING (line) LEFT JOIN k USING (line))
+        SELECT doc_id, count(*) FILTER (line <> '') AS n_lines, count(*) FILTER (line <> '' AND kept) AS n_kept,
+               coalesce(sum(n_links) FILTER (line <> ''), 0) AS n_links, coalesce(min(class_doc) FILTER (line <> ''), doc_id) AS class_id,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (kept), '')) AS kept_sha256
+        FROM c GROUP BY doc_id""",
+    "op4_decontamination": f"""
+        WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+             b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+             v AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i : i + least(len(w), 10) - 1], ' ') AS win
+                   FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+             h AS (SELECT doc_id, i, q.n, item_id
+                   FROM (SELECT doc_id, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM v)) q
+                   JOIN v ON q.n = v.n AND array_to_string(q.w[q.i : q.i + q.n - 1], ' ') = v.win),
+             n AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM h) GROUP BY doc_id),
+             t AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items
+                   FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item_id FROM h) GROUP BY doc_id)
+        SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN n USING (doc_id) LEFT JOIN t USING (doc_id)""",
     "op7_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
