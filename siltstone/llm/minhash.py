@@ -13,7 +13,9 @@ equal texts folded first, so that copies cost one row. Within a band hash, texts
 band's hash, and each is paired with its predecessor and with the first one. Pairs are verified on
 whole texts by multiset overlap, and verified links give classes by connected components. Where texts
 that share a band hash are still in different classes and not all pairs of them were tried, the
-remaining pairs are verified too, so the pairing loses no link that the bands offer.
+rest is settled exactly: texts that can't reach the similarity because of shingles that no other open
+text has are left out, and the others are compared in blocks of bounded size, each of which reports a
+spanning star of its links and no pairs. So the pairing loses no link that the bands offer.
 """
 
 from __future__ import annotations
@@ -26,13 +28,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytesarrays import byte_values, chunks, mix, run_hashes, runs, view
-from .common import cut, text_or_empty
+from .common import cut, shuffle_width, text_or_empty
 from .components import components
 
 WORDS, SIMILARITY = 5, 0.8
 #: Rows of a band and number of bands: a pair of similarity 0.8 misses all bands with probability 3e-6.
 ROWS, BANDS = 4, 24
 HORIZON = 3.5
+#: Texts and bytes of a block in which open texts are compared with each other, about.
+BLOCK_ROWS, BLOCK_BYTES = 400, 2 << 20
 LENGTH_STEP = np.uint64(0xD1342543DE82EF95)
 ID_BITS = np.uint64(24)
 
@@ -170,6 +174,114 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float, width: int)
     return pairs.join(left, "b").join(right, "a").select("a", "b", "body_a", "body_b").mapInArrow(run, "a binary, b binary")
 
 
+def shareable(texts: DataFrame, similarity: float, width: int) -> DataFrame:
+    """(tid, n, own) of the texts that can have a link among ``texts``: shingles in all, and those that no other has.
+
+    What only one of the texts has can't be shared, so ``n - own`` bounds every overlap from above,
+    and a text whose bound is below ``similarity`` of its size has no link here.
+    """
+    out = pa.schema([("tid", pa.binary()), ("n", pa.int64()), ("hashes", pa.list_(pa.int64())), ("weights", pa.list_(pa.int64()))])
+
+    def run(batches):
+        for part, data, offsets in chunks(batches, 1):
+            row, hashed, weight = multiset(*shingles(data, offsets, width))
+            order = np.argsort(row, kind="stable")
+            edges = pa.array(np.searchsorted(row[order], np.arange(len(offsets))).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(edges, pa.array(x[order])) for x in (hashed.view(np.int64), weight.astype(np.int64))]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.bincount(row, weight, len(offsets) - 1).astype(np.int64)), *lists], schema=out)
+
+    made = texts.mapInArrow(run, "tid binary, n long, hashes array<long>, weights array<long>").withColumn("k", F.xxhash64("tid"))
+    each = made.select("k", F.explode(F.arrays_zip("hashes", "weights")).alias("s")).select("k", F.col("s.hashes").alias("h"), F.col("s.weights").alias("w"))
+    own = each.groupBy("h").agg(F.min("k").alias("k"), F.max("k").alias("k2"), F.min("w").alias("w")).where("k = k2").groupBy("k").agg(F.sum("w").alias("own"))
+    return made.select("tid", "n", "k").join(own, "k", "left").select("tid", "n", F.coalesce("own", F.lit(0)).alias("own")).where(F.col("n") - F.col("own") >= similarity * F.col("n"))
+
+
+def with_labels(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """``rows`` (tid, ...) with the label of their class, which is the tid itself without links."""
+    return rows.join(classes, rows["tid"] == classes["node"], "left").select(*rows.columns, F.coalesce("label", "tid").alias("label"))
+
+
+def overlaps(row: np.ndarray, hashed: np.ndarray, weight: np.ndarray, rows: int) -> np.ndarray:
+    """Multiset overlaps of all pairs of rows, as a matrix."""
+    element = np.repeat(hashed, weight)
+    of = np.repeat(row, weight)
+    times = np.arange(len(element)) - np.repeat(np.cumsum(weight) - weight, weight)
+    element = mix(element + times.astype(np.uint64) * LENGTH_STEP)
+    order = np.argsort(element, kind="stable")
+    element, of = element[order], of[order]
+    begin = np.flatnonzero(np.concatenate([[True], element[1:] != element[:-1]])) if len(element) else np.zeros(0, np.int64)
+    size = np.diff(np.append(begin, len(element)))
+    shared = np.zeros((rows, rows), np.float32)
+    for n in range(2, 9):  # few rows have it: pairs one by one
+        members = of[begin[size == n][:, None] + np.arange(n)]
+        for i in range(n):
+            for j in range(n):
+                if i != j:
+                    np.add.at(shared, (members[:, i], members[:, j]), 1)
+    common = np.flatnonzero(size > 8)
+    for k in range(0, len(common), 2048):  # many have it: products of incidence matrices
+        part = common[k : k + 2048]
+        at = np.repeat(np.arange(len(part)), size[part])
+        where = np.repeat(begin[part] - np.cumsum(size[part]) + size[part], size[part]) + np.arange(size[part].sum())
+        incidence = np.zeros((rows, len(part)), np.float32)
+        incidence[of[where], at] = 1
+        shared += incidence @ incidence.T
+    return shared
+
+
+def block_links(tids: list[bytes], bodies: pa.Array, similarity: float, width: int) -> list[tuple[bytes, bytes]]:
+    """Links that join the texts of a block as all links among them would: a star for each class."""
+    row, hashed, weight = multiset(*shingles(*view(bodies), width))
+    total = np.bincount(row, weight, len(tids))
+    shared = overlaps(row, hashed, weight, len(tids))
+    near = (shared >= similarity * (total[:, None] + total[None, :] - shared)) & (shared > 0)
+    np.fill_diagonal(near, True)
+    label = np.arange(len(tids))
+    while True:
+        lower = np.where(near, label[None, :], len(tids)).min(1)
+        lower = lower[lower]
+        if (lower == label).all():
+            break
+        label = lower
+    return [(tids[k], tids[i]) for i, k in enumerate(label.tolist()) if i != k]
+
+
+def settled(open_: DataFrame, texts: DataFrame, similarity: float, width: int, block_rows: int = BLOCK_ROWS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Links (a, b) that join open texts (band, tid) exactly as all their links would.
+
+    Texts that meet in bands, directly or over others, form a group; a group is dealt into blocks by
+    a hash, and every two blocks of a group meet in one task. No pair leaves a task but those of a
+    star for each class that the task finds.
+    """
+    able = cut(open_.join(shareable(texts.join(open_.select("tid").distinct(), "tid", "left_semi"), similarity, width), "tid").select("band", "tid"))
+    first = able.groupBy("band").agg(F.min("tid").alias("a"), F.count("*").alias("n")).where("n > 1")
+    groups = components(cut(able.join(first, "band").select("a", F.col("tid").alias("b")).distinct()))
+    sized = texts.join(groups, F.col("tid") == F.col("node")).select("tid", F.col("label").alias("grp"), "body")
+    parts = sized.groupBy("grp").agg(F.greatest(F.ceil(F.count("*") / block_rows), F.ceil(F.sum(F.octet_length("body")) / block_bytes)).cast("int").alias("parts"))
+    own = F.pmod(F.xxhash64("tid"), F.col("parts")).cast("int")
+    placed = sized.join(parts, "grp").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    keyed = placed.select("grp", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "tid", "body")
+    dealt = keyed.repartition(shuffle_width(texts.sparkSession), "grp", "low", "high").sortWithinPartitions("grp", "low", "high", "tid")
+    out = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+
+    def run(batches):
+        def emit(tids, bodies):
+            found = block_links(tids, pa.array(bodies, pa.binary()), similarity, width) if len(tids) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], schema=out)
+
+        key, tids, bodies = None, [], []
+        for batch in batches:
+            for *here, tid, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if here != key:
+                    yield emit(tids, bodies)
+                    key, tids, bodies = here, [], []
+                tids.append(tid)
+                bodies.append(body)
+        yield emit(tids, bodies)
+
+    return dealt.mapInArrow(run, "a binary, b binary").distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, width: int = WORDS, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
     """One row per row of ``docs``: its id, ``class_id`` (smallest id of its class), ``class_size`` (rows), ``kept``.
 
@@ -194,15 +306,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = cut(verified(pairs, texts, similarity, width))
     classes = components(links)
     # what neighbours and first ones didn't settle
-    labelled = shared.join(classes, shared["tid"] == classes["node"], "left").select("band", "n", "tid", F.coalesce("label", "tid").alias("label"))
+    labelled = with_labels(shared.select("band", "n", "tid"), classes)
     split = labelled.where("n > 3").groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("band")
-    open_ = cut(labelled.join(split, "band", "left_semi").select("band", "tid", "label"))
+    open_ = cut(labelled.join(split, "band", "left_semi").select("band", "tid"))
     if not open_.isEmpty():
-        other = open_.select("band", F.col("tid").alias("tid2"), F.col("label").alias("label2"))
-        rest = open_.join(other, "band").where("label < label2").select(F.least("tid", "tid2").alias("a"), F.greatest("tid", "tid2").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-        late = cut(verified(rest, texts, similarity, width))
+        late = cut(settled(open_, texts, similarity, width))
         if not late.isEmpty():
-            classes = components(cut(links.unionByName(late)))
+            classes = components(links.unionByName(late))
     member = all_rows.select("id", "tid").join(classes, F.col("tid") == F.col("node"), "left").select("id", F.coalesce("label", "tid").alias("class"))
     sizes = member.groupBy("class").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size"))
     return member.join(sizes, "class").select(F.col("id").alias(id_col), "class_id", "class_size", (F.col("class_id").isNull() | F.coalesce(F.col("id") == F.col("class_id"), F.lit(False))).alias("kept"))
