@@ -1,0 +1,89 @@
+import pytest
+
+from siltstone.operators import changes, secrets, vulnerabilities
+from siltstone.operators.secret_rules import Rule, built_in, load_rules
+from siltstone.sources.corpus import files
+from siltstone.sources.git import changed_ranges, commits
+
+
+def table(spark, *rows):
+    return files(spark.createDataFrame(rows, "path string, source string"))
+
+
+RISKS = [
+    ("a.py", "os.system(x)", ["os_system_injection"]),
+    ("a.py", "# os.system(x)", []),
+    ("a.md", "eval(x)", []),
+    ("a.js", "eval(x)", ["eval_injection"]),
+    ("a.js", "\u00e9eval(x)", ["eval_injection"]),
+    ("a.py", "import pickle as p\np.loads(x)", ["pickle_deserialization"]),
+    ("a.py", "'''\npickle.loads(x)\n'''", []),
+    ("a.py", "subprocess.run(x)", ["python_subprocess_without_shell"]),
+    ("a.py", "subprocess.run(x, shell=True)", ["python_subprocess_shell"]),
+    ("a.html", '<script src="//x/y.js"></script>', ["script_src_without_sri"]),
+    ("a.html", '<script src="//x/y.js" integrity="z"></script>', []),
+    (".github/workflows/a.yml", "x", ["github_actions_workflow"]),
+    ("a.go", "exec(x)", []),
+    ("a.py", "", []),
+]
+
+
+@pytest.mark.parametrize(("path", "source", "want"), RISKS)
+def test_vulnerabilities(spark, path, source, want):
+    assert sorted(r.rule for r in vulnerabilities.scan(table(spark, (path, source))).collect()) == want
+
+
+def test_vulnerability_place_is_the_first_match_in_bytes(spark):
+    got = vulnerabilities.scan(table(spark, ("a.js", "x\n\u00e9 eval(a); eval(b)\n"))).collect()
+    assert [(r.line, r.column) for r in got] == [(2, 4)]
+
+
+HEX = "f33e61083db5dbdf" + "4bd2369d2f80176e57f7fda2"
+
+
+def test_secrets(spark):
+    rows = [("a", f'x\ntoken = "{HEX}" y'), ("b", f'token = "{HEX}" # gitleaks:' + "allow"), ("c", 'token = "your-api-key-here" '), ("d", "plain text"), ("e", "glpat"), ("f", None)]
+    got = secrets.scan(table(spark, *rows)).collect()
+    assert [(r.path, r.rule, r.line, r.column, r.secret, r.severity) for r in got] == [("a", "generic-api-key", 2, 1, "f33e...fda2", "alert")]
+
+
+def test_declared_entropy_bounds(spark):
+    low = [("a", "adobe_id = " + "'" + "a" * 32 + "' ")]
+    find = lambda mode: [r.rule for r in secrets.scan(table(spark, *low), filter_mode=mode).collect()]
+    assert "adobe-client-id" in find("as_loaded") and "adobe-client-id" not in find("declared")
+
+
+def test_companions_and_custom_rules(spark, tmp_path):
+    (tmp_path / "r.toml").write_text("[[rules]]\nid='key'\nregex='''K-[0-9]+'''\nkeywords=['k-']\n[[rules.required]]\nid='id'\nwithinLines=1\n[[rules]]\nid='id'\nregex='''I-[0-9]+'''\nkeywords=['i-']\nskipReport=true\n")
+    rules = load_rules(str(tmp_path / "r.toml"))
+    assert rules[0].required == (("id", 1),) and not rules[1].report
+    got = secrets.scan(table(spark, ("near", "I-1\nK-1"), ("far", "I-1\n\nK-1"), ("none", "K-1")), rules).collect()
+    assert [r.path for r in got] == ["near"]
+
+
+def test_every_built_in_rule_compiles():
+    found = secrets.matcher(tuple(built_in()))
+    assert len(found.rules) > 150
+    for i in range(len(found.rules)):
+        found.pattern(i)
+    assert len({r.id for r in found.rules}) == len(found.rules)
+
+
+def test_rule_with_a_path_needs_it(spark):
+    rules = [Rule("p", "x+", (), path=r"\.yml$")]
+    assert [r.path for r in secrets.scan(table(spark, ("a.yml", "xx"), ("a.go", "xx")), rules).collect()] == ["a.yml"]
+
+
+def test_diff_and_log(spark):
+    diff = ["--- a/x.go", "+++ b/x.go", "@@ -1 +2,3 @@", "@@ -9 +12 @@", "@@ -9,2 +20,0 @@", "+++ b/y.go", "@@ -0,0 +1,2 @@"]
+    rows = spark.createDataFrame(list(enumerate(diff)), "line_no int, line string")
+    assert sorted(tuple(r) for r in changed_ranges(rows).collect()) == [("x.go", 2, 4), ("y.go", 1, 2)]
+    log = ["abcdef1 Ann Lee", "1\t2\tx.go", "-\t-\ty.png", "abcdef2 Bo", "3\t0\tx.go"]
+    rows = spark.createDataFrame(list(enumerate(log)), "line_no int, line string")
+    assert sorted(tuple(r) for r in changes.churn(commits(rows)).collect()) == [("x.go", 2, 2), ("y.png", 1, 1)]
+
+
+def test_changed_findings_keep_both_clauses(spark):
+    found = spark.createDataFrame([("a", 5, 0), ("a", 1, 3), ("a", 9, 9), ("b", 5, 5)], "path string, line_start int, line_end int")
+    ranges = spark.createDataFrame([("a", 3, 5), ("a", 4, 6)], "path string, start int, end int")
+    assert sorted(r.line_start for r in changes.changed_findings(found, ranges).collect()) == [1, 5]
