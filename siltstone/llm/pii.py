@@ -225,8 +225,10 @@ def find(texts: list[str], model: Model) -> list[tuple[list, list]]:
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
     """Fit the field on at most ``sample`` documents that hold a digit or an @."""
-    rows = docs.select(F.xxhash64(F.col(id_col)).alias("h"), F.col(id_col).alias("id"), text_or_empty(F.col(text_col)).alias("text")).where(F.col("text").rlike("[0-9@]"))
-    return train([r["text"] for r in rows.orderBy("h", "id", "text").limit(sample).collect()])
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(F.col(text_col)).alias("text"))
+    hinted = rows.where(F.col("text").rlike("[0-9@]"))
+    picked = hinted.select("id").where("id is not null").distinct().orderBy(F.xxhash64("id"), "id").limit(sample)  # ids alone go to the driver
+    return train([r["text"] for r in rows.join(F.broadcast(picked), "id").orderBy("id", "text").limit(sample).collect()])
 
 
 SPANS = "array<struct<start: long, kind: string, end: long, base: boolean>>"
