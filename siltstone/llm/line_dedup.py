@@ -6,8 +6,8 @@ piece of a finer, even partition. An index key is therefore the shorter line's l
 out, and hashes of what stands before and behind it. A line is indexed under its own length and
 probes the lengths that one deletion leads to, with what stands behind the piece aligned at the end.
 
-Keys that only copies of one line have go at once, by partial aggregates that fold copies before the
-shuffle. In keys of few lines all pairs are verified by a banded bit-parallel edit distance; lines in
+Very common lines are folded to one copy before the shuffle, and keys that only copies of one line have
+go at once. In keys of few lines all pairs are verified by a banded bit-parallel edit distance; lines in
 crowded keys are keyed again by a partition four times as fine, until keys are small or pieces are
 single characters, where a key can only hold lines that differ in that one place.
 """
@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, text_or_empty
@@ -27,6 +27,8 @@ MIN_CHARS = 20
 PIECES = 4
 #: Distinct lines of a key beyond which the lines are keyed again by finer pieces.
 CROWD = 24
+#: Bound on the number of lines that are folded by a broadcast; each has a larger share of all lines than one in so many.
+MOST_COMMON = 10_000
 #: The finest partition; lines of at most as many characters have single characters as pieces.
 FINEST = 4096
 WORD = (1 << 32) - 1
@@ -66,20 +68,46 @@ def line_keys(line: Column, n: Column, pieces: int) -> Column:
     return F.concat(F.transform(numbers, lambda k: fine(k, 0)), F.transform(probes, fine_probe))
 
 
+def trimmed_pair(p: Column, steps: int = 16) -> Column:
+    """A pair (longer, shorter) without common ends, which are looked for at even steps; ``least`` is what they hide at most."""
+
+    def cut_ends(q: Column) -> Column:
+        x, y, m, n = q["longer"], q["shorter"], q["m"], q["n"]
+        marks = [F.floor(n * j / steps).cast("int") for j in range(1, steps + 1)]
+        head = reduce(lambda best, k: F.when(F.substring(x, F.lit(1), k) == F.substring(y, F.lit(1), k), k).otherwise(best), marks, F.lit(0))
+        tail = reduce(lambda best, k: F.when((k > 0) & (F.substring(x, m - k + 1, k) == F.substring(y, n - k + 1, k)), k).otherwise(best), marks, F.lit(0))
+        return F.struct(x.alias("longer"), y.alias("shorter"), m.alias("m"), n.alias("n"), head.alias("head"), tail.alias("tail"))
+
+    def middle(q: Column) -> Column:
+        tail = F.least(q["tail"], q["n"] - q["head"])
+        keep = q["n"] - q["head"] - tail
+        longer = F.substring(q["longer"], q["head"] + 1, q["m"] - q["head"] - tail)
+        return F.struct(longer.alias("longer"), F.substring(q["shorter"], q["head"] + 1, keep).alias("shorter"), (q["m"] - q["head"] - tail).alias("m"), keep.alias("n"))
+
+    return F.element_at(F.transform(F.transform(F.array(p), cut_ends), middle), 1)
+
+
 def within(x: Column, y: Column, k: int) -> Column:
     """Whether the edit distance of two strings is at most ``k`` (up to 15): banded and bit-parallel.
 
     The band's 2k + 1 diagonals are bits of a word that moves down with the second string; each
-    character costs a few word operations. Common ends are cut off first, at even steps.
+    character costs a few word operations. Common ends are cut off first, twice at even steps. One
+    edit can't leave more than two steps between the ends; so for k = 1 longer rests are apart.
     """
-    longer, shorter = F.when(F.char_length(x) >= F.char_length(y), x).otherwise(y), F.when(F.char_length(x) >= F.char_length(y), y).otherwise(x)
-    n = F.char_length(shorter)
-    steps = 16
-    marks = [F.floor(n * j / steps).cast("int") for j in range(1, steps + 1)]
-    head = reduce(lambda best, m: F.when(F.substring(longer, F.lit(1), m) == F.substring(shorter, F.lit(1), m), m).otherwise(best), marks, F.lit(0))
-    tail = reduce(lambda best, m: F.when((m > 0) & (F.substring(longer, F.char_length(longer) - m + 1, m) == F.substring(shorter, n - m + 1, m)), m).otherwise(best), marks, F.lit(0))
-    tail = F.least(tail, n - head)
-    return _banded(F.substring(longer, head + 1, F.char_length(longer) - head - tail), F.substring(shorter, head + 1, n - head - tail), k)
+    first = F.char_length(x) >= F.char_length(y)
+    longer, shorter = F.when(first, x).otherwise(y), F.when(first, y).otherwise(x)
+    whole = F.struct(longer.alias("longer"), shorter.alias("shorter"), F.char_length(longer).alias("m"), F.char_length(shorter).alias("n"))
+
+    def decide(p: Column) -> Column:
+        once = trimmed_pair(p)
+        near = F.element_at(F.transform(F.array(once), lambda q: F.when(q["n"] > 2 * (F.floor(p["n"] / 16) + 1), False).otherwise(_rest(q, k)) if k == 1 else _rest(q, k)), 1)
+        return F.when(p["m"] - p["n"] > k, False).otherwise(near)
+
+    return F.element_at(F.transform(F.array(whole), decide), 1)
+
+
+def _rest(q: Column, k: int) -> Column:
+    return F.element_at(F.transform(F.array(trimmed_pair(q)), lambda r: _banded(r["longer"], r["shorter"], k)), 1)
 
 
 def _banded(longer: Column, shorter: Column, k: int) -> Column:
@@ -135,15 +163,23 @@ def pairs_of(groups: DataFrame) -> DataFrame:
     return first.select("a", F.explode(F.slice("all", F.col("i") + 2, F.greatest(F.size("all") - F.col("i") - 1, F.lit(0)))).alias("b")).distinct()
 
 
-def links(all_lines: DataFrame, threshold: int = 1, min_chars: int = MIN_CHARS, pieces: int = PIECES, crowd: int = CROWD) -> DataFrame:
-    """(a, b) of distinct lines, by ``h1``, within ``threshold`` edits of each other; each pair once, a < b."""
+def links(all_lines: DataFrame, common: DataFrame | None = None, threshold: int = 1, min_chars: int = MIN_CHARS, pieces: int = PIECES, crowd: int = CROWD) -> DataFrame:
+    """(a, b) of distinct lines, by ``h1``, within ``threshold`` edits of each other; each pair once, a < b.
+
+    Lines whose h1 is in ``common`` (MOST_COMMON rows at most) are folded to one copy before they are
+    keyed, so that no key holds the copies of a very common line.
+    """
     if threshold != 1:
         raise ValueError("the index is made for a threshold of 1")
     long_enough = all_lines.where(F.char_length("line") >= min_chars).select("h1", "line")
+    once = long_enough
+    if common is not None:
+        few = F.broadcast(common.select("h1"))  # MOST_COMMON rows at most
+        once = long_enough.join(few, "h1", "left_anti").unionByName(long_enough.join(few, "h1", "left_semi").groupBy("h1").agg(F.first("line").alias("line")))
     rows = lambda source, p: source.select("h1", F.explode(line_keys(F.col("line"), F.char_length("line"), p)).alias("key"))
-    keyed = rows(long_enough, pieces)
-    mixed = keyed.groupBy("key").agg(F.min("h1").alias("x"), F.max("h1").alias("y")).where("x <> y").select("key")
-    shared = cut(keyed.join(mixed, "key").select("key", "h1").distinct())
+    same_key = Window.partitionBy("key")
+    mixed = rows(once, pieces).withColumn("x", F.min("h1").over(same_key)).withColumn("y", F.max("h1").over(same_key)).where("x <> y")
+    shared = cut(mixed.select("key", "h1").distinct())
     texts = cut(long_enough.join(shared.select("h1").distinct(), "h1", "left_semi").groupBy("h1").agg(F.first("line").alias("line")))
     found = []
     while True:
@@ -162,6 +198,12 @@ def links(all_lines: DataFrame, threshold: int = 1, min_chars: int = MIN_CHARS,
     return pairs.join(left, "a").join(right, "b").where(within(F.col("x"), F.col("y"), threshold)).select("a", "b")
 
 
+def most_common(counted: DataFrame) -> DataFrame:
+    """(h1) of the lines with more than a ten-thousandth of all lines, and over 1,000 copies: fewer than MOST_COMMON."""
+    total = counted.agg(F.sum("copies")).first()[0] or 0
+    return counted.where(F.col("copies") > max(1000, total // MOST_COMMON)).select("h1").distinct()
+
+
 def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 1, min_chars: int = MIN_CHARS) -> DataFrame:
     """One row per line with a character: ``doc``, ``line_no``, ``class_doc``, ``class_line``, ``n_links``, ``kept``, ``copy``.
 
@@ -177,8 +219,8 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     every = lines(docs, id_col, text_col)
     place = F.struct(F.coalesce("doc", F.lit(-(1 << 63))).alias("doc"), "line_no")
     spots = every.select(place["doc"].alias("doc"), "line_no", "h1", "h2")
-    firsts = cut(spots.groupBy("h1", "h2").agg(F.min(F.struct("doc", "line_no")).alias("first")))
-    near = cut(links(every, threshold, min_chars))
+    firsts = cut(spots.groupBy("h1", "h2").agg(F.min(F.struct("doc", "line_no")).alias("first"), F.count("*").alias("copies")))
+    near = cut(links(every, most_common(firsts), threshold, min_chars))
     both = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
     linked = both.join(firsts.select(F.col("h1").alias("b"), F.col("first").alias("other")), "b").groupBy("a").agg(F.min("other").alias("best"), F.count("*").alias("n_links"))
     known = firsts.join(linked, F.col("h1") == F.col("a"), "left").select("h1", "h2", "first", "best", F.coalesce("n_links", F.lit(0)).alias("n_links"))
