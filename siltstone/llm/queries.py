@@ -101,10 +101,13 @@ ORACLE_SQL = {
              l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS line_no FROM s),
              f AS (SELECT line, min({'d': doc_id, 'n': line_no}) AS first FROM l WHERE line <> '' GROUP BY line),
              m AS (SELECT line AS x, length(line) AS n, first FROM f WHERE length(line) >= 20),
-             p AS (SELECT a.x, b.x AS y, a.first AS fx, b.first AS fy FROM m a JOIN m b ON (a.n = b.n AND a.x < b.x) OR a.n = b.n + 1
-                   WHERE levenshtein(a.x, b.x) <= 4 -- bytes; the exact test on characters follows
-                     AND CASE WHEN a.n = b.n THEN len(list_filter(range(1, a.n + 1), lambda i: a.x[i] <> b.x[i])) = 1
-                              ELSE len(list_filter(range(0, a.n), lambda i: a.x[1:i] || a.x[i + 2:] = b.x)) > 0 END),
+             q AS MATERIALIZED (SELECT a.x, b.x AS y, a.first AS fx, b.first AS fy, a.n, b.n AS n2 FROM m a JOIN m b ON a.n = b.n
+                                WHERE a.x < b.x AND levenshtein(a.x, b.x) <= 4 -- bytes; the exact test on characters follows
+                                UNION ALL SELECT a.x, b.x, a.first, b.first, a.n, b.n FROM m a JOIN m b ON a.n = b.n + 1
+                                WHERE levenshtein(a.x, b.x) <= 4),
+             p AS (SELECT x, y, fx, fy FROM q
+                   WHERE CASE WHEN n = n2 THEN len(list_filter(range(1, n + 1), lambda i: x[i] <> y[i])) = 1
+                              ELSE len(list_filter(range(0, n), lambda i: x[1:i] || x[i + 2:] = y)) > 0 END),
              k AS (SELECT line, min(other) AS best, count(*) AS n_links
                    FROM (SELECT x AS line, fy AS other FROM p UNION ALL SELECT y, fx FROM p) GROUP BY line),
              c AS (SELECT doc_id, line_no, line, line = '' OR least(first, coalesce(best, first)) = {'d': doc_id, 'n': line_no} AS kept,
