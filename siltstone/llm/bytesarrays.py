@@ -46,7 +46,7 @@ _POWERS: dict[str, np.ndarray] = {}
 
 def powers(n: int, step: np.uint64, name: str) -> np.ndarray:
     """step**0 .. step**(n-1) modulo 2**64; kept for later calls."""
-    if len(_POWERS.get(name, ())) < n:
+    if name not in _POWERS or len(_POWERS[name]) < n:
         full = np.full(max(n, 1 << 16), step, np.uint64)
         full[0] = 1
         _POWERS[name] = np.multiply.accumulate(full)

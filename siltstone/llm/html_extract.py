@@ -43,6 +43,8 @@ UNLIKELY = re.compile(
 )
 LIKELY = re.compile(r"(?<![a-z])(?:article|articlebody|article-?body|body|content|entry|entry-?content|hentry|main|page|post|post-?content|post-?body|story|text|blog)(?![a-z])")
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog toolbar tooltip status".split())
+#: Never containers by themselves, only parts of one.
+PARTS = frozenset("tr tbody thead tfoot table ul ol dl li dt dd p pre blockquote".split())
 PARAGRAPH = frozenset("p pre blockquote td li dd".split())
 
 
@@ -60,7 +62,7 @@ def judge(tag: str, raw: str, article: bool) -> tuple[bool, int]:
     if tag in DROP or tag == "header" and not article:
         return True, 0
     bonus = 40 if tag in ("article", "main") else 0
-    if not raw or tag in ("html", "body", "p", "b", "i", "em", "strong", "a", "span") and "=" not in raw:
+    if not raw.strip() or tag in ("html", "body"):
         return False, bonus
     found = {k.lower(): (a or b or c or "").lower() for k, a, b, c in ATTRIBUTE.findall(raw)}
     role = found.get("role", "")
@@ -68,8 +70,8 @@ def judge(tag: str, raw: str, article: bool) -> tuple[bool, int]:
         return True, 0
     if role == "main" or found.get("itemprop") == "articlebody":
         bonus = 40
-    words = re.sub(r"[_\s]+", " ", found.get("class", "") + " " + found.get("id", "")).replace("-", "-")
-    if words.strip() and tag not in ("html", "body"):
+    words = re.sub(r"[_\s]+", " ", found.get("class", "") + " " + found.get("id", ""))
+    if words.strip():
         likely = bool(LIKELY.search(words))
         if UNLIKELY.search(words) and tag not in ("article", "main"):
             return True, 0
@@ -179,6 +181,8 @@ def main_elements(root: Element) -> list[Element]:
         return [root] if root.length else []
     rank = lambda n: (n.score + n.likely) * (1 - density(n)) * (0.5 if n.tag == "body" else 1)
     best = max(found, key=rank)
+    while best.tag in PARTS and best.parent is not None:
+        best = best.parent
     up = best
     while up is not None:  # the outermost article around it, if any
         if up.likely >= 40 or up.likely >= 15 and up.score and up.tag != "body":
