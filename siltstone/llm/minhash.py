@@ -10,7 +10,7 @@ size of the document, and further in the rare case that a component is still emp
 
 Plan: one narrow pass makes signatures; bands of them are shuffled as (band hash, text digest), with
 equal texts folded first, so that copies cost one row. Within a band hash, texts go by the next
-band's hash, and each is paired with its predecessor and with the first one. Pairs are verified on
+band's hash, and each is paired with its predecessor. Pairs are verified on
 whole texts by multiset overlap, and verified links give classes by connected components. Where texts
 that share a band hash are still in different classes and not all pairs of them were tried, the
 rest is settled exactly: texts that can't reach the similarity because of shingles that no other open
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .bytesarrays import byte_values, chunks, mix, run_hashes, runs, view
 from .common import cut, shuffle_width, text_or_empty
-from .components import components
+from .components import components, ordered_pairs
 
 WORDS, SIMILARITY = 5, 0.8
 #: Rows of a band and number of bands: a pair of similarity 0.8 misses all bands with probability 3e-6.
@@ -298,16 +298,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     crowded = bands_of.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     shared = cut(bands_of.join(crowded, "band"))
     w = Window.partitionBy("band").orderBy("next", "tid")
-    near = shared.select("tid", F.lag("tid").over(w).alias("before"), F.first("tid").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("first"))
-    pair = lambda x, y: F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    pairs = near.select(F.explode(F.array(pair(F.col("tid"), F.col("before")), pair(F.col("tid"), F.col("first")))).alias("p")).where("p.a < p.b").select("p.*").distinct()
+    pairs = ordered_pairs(shared.select("tid", F.lag("tid").over(w).alias("before")), "tid", "before")
     wanted = shared.select("tid").distinct()
     texts = cut(all_rows.join(wanted, "tid", "left_semi").groupBy("tid").agg(F.first("body").alias("body")))
     links = cut(verified(pairs, texts, similarity, width))
     classes = components(links)
-    # what neighbours and first ones didn't settle
+    # what neighbours didn't settle
     labelled = with_labels(shared.select("band", "n", "tid"), classes)
-    split = labelled.where("n > 3").groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("band")
+    split = labelled.where("n > 2").groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("band")
     open_ = cut(labelled.join(split, "band", "left_semi").select("band", "tid"))
     if not open_.isEmpty():
         late = cut(settled(open_, texts, similarity, width))
