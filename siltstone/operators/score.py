@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,9 +22,17 @@ def label(score: Column) -> Column:
     return reduce(lambda rest, x: F.when(score >= x[0], x[1]).otherwise(rest), sorted(LABELS[:-1]), F.lit(LABELS[-1][1]))
 
 
-def all_smells(files: DataFrame, made: DataFrame | None = None) -> DataFrame:
-    """The findings of all detectors over a file table."""
-    rows, extents = lines(files), functions(files) if made is None else made
+def prepared(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Lines and functions of a file table, persisted, for callers that run many detectors over them.
+
+    What doesn't fit in memory goes to disk, and what an executor loses is computed again.
+    """
+    return lines(files).persist(StorageLevel.MEMORY_AND_DISK), functions(files).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def all_smells(files: DataFrame, made: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """The findings of all detectors over a file table; ``made`` holds its lines and functions if they exist already."""
+    rows, extents = made or (lines(files), functions(files))
     parts = [f(rows) for f in smells.LINE_DETECTORS]
     parts += [f(extents) for f in (function_smells.brain_method, function_smells.complex_method, function_smells.bumpy_road, function_smells.function_count, function_smells.lazy_element, function_smells.code_duplication, function_smells.low_cohesion)]
     parts += [function_smells.brain_class(extents, rows), blocks.long_switch(files), blocks.long_scope_variable(extents)]
@@ -41,9 +50,9 @@ def score_of(loc: Column, functions_: Column, smell: Column, pairs: Column, cohe
     return F.least(F.lit(100), F.greatest(F.lit(0), F.floor(F.round(F.greatest(left, F.lit(1.0)) * 10, 9) + 0.5))).cast("int")
 
 
-def quality(files: DataFrame, found: DataFrame, made: DataFrame | None = None) -> DataFrame:
+def quality(files: DataFrame, found: DataFrame, made: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """(path, lang, loc, n_smells, score, label) of every file, from its findings ``found``."""
-    extents = functions(files) if made is None else made
+    extents = made[1] if made else functions(files)
     loc = F.when(F.col("source") == "", 0).otherwise(F.size(F.split(F.regexp_replace("source", r"\n\z", ""), "\n")))
     base = files.select("path", "lang", loc.alias("loc"))
     weight = reduce(lambda rest, x: F.when(F.col("severity") == x[0], x[1]).otherwise(rest), PENALTY.items(), F.lit(0.0))

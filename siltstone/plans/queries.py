@@ -59,7 +59,8 @@ def cohesion(spark, sf_dir):
 
 def quality_scores(spark, sf_dir):
     table_ = corpus(spark, sf_dir)
-    return score.quality(table_, score.all_smells(table_))
+    made = score.prepared(table_)
+    return score.quality(table_, score.all_smells(table_, made), made)
 
 
 def quality_overall(spark, sf_dir):
@@ -71,7 +72,8 @@ def quality_labels(spark, sf_dir):
 
 
 def smell_severities(spark, sf_dir):
-    return score.severities(score.all_smells(corpus(spark, sf_dir)))
+    table_ = corpus(spark, sf_dir)
+    return score.severities(score.all_smells(table_, score.prepared(table_)))
 
 
 def vulnerability_findings(spark, sf_dir):
@@ -126,7 +128,7 @@ def problem_lines(spark, sf_dir):
 
 def sarif_rules(spark, sf_dir):
     table_ = corpus(spark, sf_dir)
-    return report.sarif_rules(report.entries(score.all_smells(table_), secrets.scan(table_), vulnerabilities.scan(table_)))
+    return report.sarif_rules(report.entries(score.all_smells(table_, score.prepared(table_)), secrets.scan(table_), vulnerabilities.scan(table_)))
 
 
 def sarif_results(spark, sf_dir):
@@ -136,8 +138,9 @@ def sarif_results(spark, sf_dir):
 
 def json_report(spark, sf_dir):
     table_ = corpus(spark, sf_dir)
-    found = score.all_smells(table_)
-    return report.json_report(score.quality(table_, found), found)
+    made = score.prepared(table_)
+    found = score.all_smells(table_, made)
+    return report.json_report(score.quality(table_, found, made), found)
 
 
 def scan_events(spark, sf_dir):
