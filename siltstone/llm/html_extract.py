@@ -42,6 +42,8 @@ UNLIKELY = re.compile(
     r"(?<![a-z])(?:ads?|adv|advert\w*|adsense|banners?|sponsor\w*|promo\w*|promoted|comments?|commentlist|respond|replies|disqus|discussion|sidebars?|side-?bar|side-?nav|widgets?|rail|menus?|nav|navbar|navigation|navigator|breadcrumbs?|pagination|pager|footers?|foot|masthead|site-?header|page-?header|topbar|toolbar|cookies?|consent|gdpr|notices?|notifications?|alerts?|popups?|pop-?up|modals?|overlay|lightbox|newsletters?|subscribe|subscription|signup|sign-?up|login|log-?in|paywall|share|sharing|social|sharebar|related|recommend\w*|outbrain|taboola|skip-?link|screen-?reader-?text|sr-only|visually-?hidden|hidden|print-?only|no-?print|disclaimer|legal|copyright|colophon|tags?-?list|trending|most-?read|more-?stories|feedback|survey|forms?)(?![a-z])"
 )
 LIKELY = re.compile(r"(?<![a-z])(?:article|articlebody|article-?body|body|content|entry|entry-?content|hentry|main|page|post|post-?content|post-?body|story|text|blog)(?![a-z])")
+#: Class words that tell of a page's state or subject, not of the element's part in it.
+STATE = re.compile(r" (?:has|with|without|no|is|js|category|cat|tag|type|status|format|postid|page-id)-\S*")
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog toolbar tooltip status".split())
 #: Never containers by themselves, only parts of one.
 PARTS = frozenset("tr tbody thead tfoot table ul ol dl li dt dd p pre blockquote".split())
@@ -70,8 +72,10 @@ def judge(tag: str, raw: str, article: bool) -> tuple[bool, int]:
         return True, 0
     if role == "main" or found.get("itemprop") == "articlebody":
         bonus = 40
-    words = re.sub(r"[_\s]+", " ", found.get("class", "") + " " + found.get("id", ""))
+    words = STATE.sub(" ", " " + re.sub(r"[_\s]+", " ", found.get("class", "") + " " + found.get("id", "")))
     if words.strip():
+        if not article and " header " in words + " ":
+            return True, 0
         likely = bool(LIKELY.search(words))
         if UNLIKELY.search(words) and tag not in ("article", "main"):
             return True, 0

@@ -103,14 +103,16 @@ def train(rows: list[tuple[bytes, int]], prior: tuple[int, int], seed: int = 7,
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / dim, 1 / dim, (size, dim)).astype(np.float32)
     output, bias = np.zeros((dim, 2), np.float32), np.zeros(2, np.float32)
-    made = [(*features(text), y) for text, y in rows]
+    made = []
+    for text, y in rows:
+        buckets, counts = features(text)
+        made.append((buckets, (counts / max(counts.sum(), 1)).astype(np.float32), y))
     steps, done = epochs * len(made), 0
     for _ in range(epochs):
         for i in rng.permutation(len(made)):
-            buckets, counts, y = made[i]
+            buckets, share, y = made[i]
             lr = rate * (1 - done / steps)
             done += 1
-            share = (counts / max(counts.sum(), 1)).astype(np.float32)
             hidden = share @ vectors[buckets] if len(buckets) else np.zeros(dim, np.float32)
             z = hidden @ output + bias
             p = np.exp(z - z.max())

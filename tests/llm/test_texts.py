@@ -31,6 +31,7 @@ PAGES = [
     (f"<main>{BODY}<form><p>Name, please, here</p></form><script>var a = '</p>';</script><style>p{{}}</style></main>", WANT),
     (f"<div role=main>{BODY}</div><div class='cookie-notice'><p>We use cookies, many, many.</p></div><!-- <p>x</p> -->", WANT),
     (f"<article>{BODY}<aside>aside, text</aside><div class='ad'>Buy, now, here</div><p hidden>no</p></article>", WANT),
+    (f"<div class='layout has-sidebar category-legal'><div class=header><p>Site, name, here</p></div><div class=content>{BODY}</div></div>", WANT),
     ("<p>a<p>b<br>c <b>d</b>e", "a b c de"),
     ("<table><tr><td>a<td>b<tr><td>c</table>", "a b c"),
     ("plain &lt;text&gt; &am", "plain <text> &am"),
