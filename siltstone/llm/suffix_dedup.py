@@ -199,31 +199,74 @@ class FirstPass:
                 yield k, pack(steps, known[pick].view(np.uint8), row[pick], at[pick].astype(np.uint32)), None, None, None
 
 
-def recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Anchors whose gram occurs again anywhere, by row; rows that come with a row number pass."""
-    held = []
+def send_rows(parts: int, row: np.ndarray, *values: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """(partition, payload) of values that belong to rows: one payload for each partition of row numbers."""
+    part = (mix(row.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    edges = np.searchsorted(part[order], np.arange(parts + 1))
+    for k in np.flatnonzero(np.diff(edges)).tolist():
+        pick = order[edges[k] : edges[k + 1]]
+        yield k, pack(row[pick], *(v[pick] for v in values))
+
+
+def spans_of(column: pa.Array, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, end) of a column of span lists without nulls."""
+    flat = column.flatten()
+    at = np.repeat(row, column.value_lengths().to_numpy())
+    return at, flat.field(0).to_numpy(), flat.field(1).to_numpy()
+
+
+def recurring(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[tuple[int, bytes]]:
+    """Anchors whose gram occurs again anywhere, for their rows; what comes with a row number is passed on."""
+    held, row, at, spans = [], [], [], []
     for b in batches:
         own = b.filter(b.column(2).is_valid())
-        if own.num_rows:
-            yield pa.RecordBatch.from_arrays([own.column(k) for k in (2, 3, 4)], schema=ROW_ARROW)
+        numbers = own.column(2)
+        for k, out in ((3, spans), (4, at)):
+            have = own.column(k).is_valid()
+            column, of = own.column(k).filter(have), numbers.filter(have).to_numpy()
+            if k == 3:
+                out.append(spans_of(column, of))
+            else:
+                out.append(column.flatten().to_numpy())
+                row.append(np.repeat(of, column.value_lengths().to_numpy()))
         held += [x for x in b.column(1).to_pylist() if x is not None]
-    if not held:
-        return
-    hashed, known, row, at = [], [], [], []
+    hashed, known, where, place = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint8)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
     while held:
         h, k, r, a = unpack(held.pop())
         hashed.append(np.cumsum(h, dtype=np.uint64))
         known.append(k)
-        row.append(r)
-        at.append(a)
-    hashed, known, row, at = (np.concatenate(x) for x in (hashed, known, row, at))
-    order = np.argsort(hashed, kind="stable")
-    ordered = hashed[order]
-    group = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]]))
-    count = np.bincount(group)
-    # those that are known to recur went to their rows already
-    keep = order[(count[group] > 1) & (known[order] == 0)]
-    rows = [(r, None, a.tolist()) for r, a in by_row(row[keep], at[keep]).items()]
+        where.append(r)
+        place.append(a)
+    hashed, known, where, place = (np.concatenate(x) for x in (hashed, known, where, place))
+    if len(hashed):
+        order = np.argsort(hashed, kind="stable")
+        ordered = hashed[order]
+        group = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]]))
+        # those that are known to recur went to their rows already
+        keep = order[(np.bincount(group)[group] > 1) & (known[order] == 0)]
+        row.append(where[keep])
+        at.append(place[keep].astype(np.int64))
+    empty = np.zeros(0, np.int64)
+    yield from send_rows(parts, np.concatenate([empty, *row]), np.concatenate([empty, *at]))
+    yield from send_rows(parts, *(np.concatenate([empty, *(x[k] for x in spans)]) for k in range(3)))
+
+
+def united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, spans, anchors) of the payloads of ``send_rows``, one row for each row number."""
+    held = [[[], []], [[], [], []]]
+    for b in batches:
+        for payload in b.column(1).to_pylist():
+            found = unpack(payload)
+            for k, x in enumerate(found):
+                held[len(found) - 2][k].append(x)
+    spans, anchors_ = {}, {}
+    if held[1][0]:
+        row, start, end = (np.concatenate(x) for x in held[1])
+        spans = by_row(row, np.stack([start, end], 1))
+    if held[0][0]:
+        anchors_ = by_row(*(np.concatenate(x) for x in held[0]))
+    rows = [(r, merge_spans(list(map(tuple, spans[r].tolist()))) if r in spans else [], anchors_[r].tolist() if r in anchors_ else []) for r in sorted(spans.keys() | anchors_.keys())]
     for k in range(0, len(rows), 4096):
         yield batch(rows[k : k + 4096], ROW_ARROW)
 
@@ -429,7 +472,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     parts = shuffle_width(docs.sparkSession)
     least = -(1 << 63)
     rows = docs.select(
-        F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(least)).alias("doc"), F.col(id_col).cast("long").isNull().alias("no_id"), text_or_empty(F.col(text_col)).cast("binary").alias("body")
+        F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(least)).alias("doc"), text_or_empty(F.col(text_col)).cast("binary").alias("body")
     )
 
     def first(batches):
@@ -452,42 +495,45 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def third(batches):
         payloads = [x for b in batches for x in b.column(1).to_pylist()]
-        found, group, gram_key = {}, [], None
+        found, group = [], []
         for shared, entry in merged(payloads):
-            if shared < 8 or gram_key is None:
-                for row, a, z in repeats(group, width) if len(group) > 1 else ():
-                    found.setdefault(row, []).append((a, z))
-                group, gram_key = [], True
+            if shared < 8:
+                if len(group) > 1:
+                    found += repeats(group, width)
+                group = []
             group.append((entry[0][8:], *entry[1:]))
-        for row, a, z in repeats(group, width) if len(group) > 1 else ():
-            found.setdefault(row, []).append((a, z))
-        out = [(row, merge_spans(spans), None) for row, spans in found.items()]
-        for k in range(0, len(out), 4096):
-            yield batch(out[k : k + 4096], ROW_ARROW)
+        if len(group) > 1:
+            found += repeats(group, width)
+        table = np.array(found, np.int64).reshape(-1, 3)
+        yield batch(list(send_rows(parts, table[:, 0], table[:, 1], table[:, 2])), RUN_ARROW)
+
+    def pass_on(batches):
+        yield batch(list(recurring(batches, parts)), RUN_ARROW)
 
+    by_row_number = lambda df: df.repartition(parts, "part").mapInArrow(united, ROW_SCHEMA)
     dealt = rows.select("row", "doc", "body").mapInArrow(first, FIRST_SCHEMA)
-    passed = dealt.repartition(parts, F.coalesce("part", F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int"))).mapInArrow(recurring, ROW_SCHEMA)
-    known = passed.groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("anchors")).alias("anchors"))
+    passed = dealt.repartition(parts, F.coalesce("part", F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int"))).mapInArrow(pass_on, RUN_SCHEMA)
+    known = by_row_number(passed)
     by_number = rows.repartition(parts, "row")
     asked = by_number.join(known.where(F.size("anchors") > 0).select("row", "anchors"), "row").select("row", "doc", "body", "anchors")
-    found = asked.mapInArrow(second, RUN_SCHEMA).repartition(parts, "part").mapInArrow(third, ROW_SCHEMA)
+    found = by_row_number(asked.mapInArrow(second, RUN_SCHEMA).repartition(parts, "part").mapInArrow(third, RUN_SCHEMA))
     spans = known.select("row", "spans").unionByName(found.select("row", "spans")).where(F.size("spans") > 0).groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
-    out = pa.schema([("doc", pa.int64()), ("no_id", pa.bool_()), ("n_bytes", pa.int64()), ("spans", SPAN_ARROW), ("kept", pa.binary())])
+    out = pa.schema([("doc", pa.int64()), ("n_bytes", pa.int64()), ("spans", SPAN_ARROW), ("kept", pa.binary())])
 
     def remove(batches):
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 b = whole.slice(at, 256)
                 rows = []
-                for doc, no_id, body, found in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+                for doc, body, found in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
                     cut = merge_spans([(s["start"], s["end"]) for s in found or ()])
                     kept, here = [], 0
                     for s in cut:
                         kept.append(body[here : s["start"]])
                         here = s["end"]
-                    rows.append((doc, no_id, len(body), cut, b"".join([*kept, body[here:]])))
+                    rows.append((doc, len(body), cut, b"".join([*kept, body[here:]])))
                 yield batch(rows, out)
 
-    final = by_number.join(spans, "row", "left").select("doc", "no_id", "body", "spans").mapInArrow(remove, f"doc long, no_id boolean, n_bytes long, spans {SPANS}, kept binary")
-    return final.select(F.when(~F.col("no_id"), F.col("doc")).alias(id_col), "n_bytes", "spans", "kept")
+    final = by_number.join(spans, "row", "left").select("doc", "body", "spans").mapInArrow(remove, f"doc long, n_bytes long, spans {SPANS}, kept binary")
+    return final.select(F.when(F.col("doc") != least, F.col("doc")).alias(id_col), "n_bytes", "spans", "kept")
