@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 TOP = 50
@@ -73,6 +73,22 @@ def token_costs(files: DataFrame, scores: DataFrame, price: float = 3.0) -> Data
     return files.join(scores.select("path", "score"), "path").select("path", n.alias("tokens"), F.floor(n * savings(F.col("score"))).cast("long").alias("saved"), F.round(n * price / 1_000_000, 3).alias("cost"))
 
 
+# Findings and the refactoring pattern that answers each.
+STRATEGIES = {
+    "deep_nesting": "deep_nesting", "brain_method": "brain_method", "brain_class": "god_class", "bumpy_road": "bumpy_road", "complex_conditional": "complex_conditional", "complex_method": "complex_method",
+    "god_class": "god_class", "long_parameter_list": "long_parameter_list", "primitive_obsession": "primitive_obsession", "duplicated_code": "duplicated_code", "message_chains": "message_chains", "file_bloat": "file_bloat",
+    "global_data": "global_data", "lazy_element": "lazy_element", "paragraph_of_code": "paragraph_of_code", "excessive_comments": "excessive_comments", "long_scope_variable": "long_scope_variable", "long_switch": "long_switch",
+    "magic_number": "magic_number", "low_cohesion": "low_cohesion", "data_class": "data_class", "refused_bequest": "refused_bequest", "shotgun_surgery": "shotgun_surgery", "parallel_inheritance": "parallel_inheritance",
+    "long_method": "brain_method", "high_cyclomatic_complexity": "complex_method",
+}
+# End of fixed values.
+
+
+def strategies(spark: SparkSession) -> DataFrame:
+    """(smell, strategy), one row for each smell that has a refactoring pattern."""
+    return spark.createDataFrame(sorted(STRATEGIES.items()), "smell string, strategy string")
+
+
 def suggested(found: DataFrame, strategies: DataFrame) -> DataFrame:
     """(path, strategies): the sorted refactoring patterns for the smells of a file; smells without one add none."""
     return found.select("path", "smell").distinct().join(F.broadcast(strategies), "smell", "left").groupBy("path").agg(F.array_sort(F.collect_set("strategy")).alias("strategies"))

@@ -82,16 +82,26 @@ def lazy_element(functions: DataFrame) -> DataFrame:
     return rows.where(F.col("line_count") < F.col("lazy")).select(*smell("lazy_element", "warning", F.col("line_start"), 0, F.col("line_count")))
 
 
+QUOTED = r"""["`][^"`]*(?:["`]|\z)"""
+
+
+def without_strings(line: Column) -> Column:
+    """A line with an x for each byte between quotes; a quote that isn't closed holds the rest of the line."""
+    found = F.concat(F.regexp_extract_all(line, F.lit(f"({QUOTED})")), F.array(F.lit("")))
+    pieces = F.arrays_zip(F.split(line, QUOTED).alias("a"), found.alias("b"))
+    inside = lambda q: F.octet_length(F.regexp_replace(q, '["`]', "")).cast("int")
+    joined = F.transform(pieces, lambda p: F.concat(F.coalesce(p["a"], F.lit("")), F.when(p["b"] == "", "").otherwise(F.concat(F.lit('"'), F.repeat(F.lit("x"), inside(p["b"])), F.lit('"')))))
+    return F.when(line.rlike('["`]'), F.array_join(joined, "")).otherwise(line)
+
+
 def fingerprint(functions: DataFrame) -> DataFrame:
     """``functions`` with ``words``: the set of their words once strings and numbers are evened out.
 
     Text between quotes (double or backtick, toggled, escapes not seen) becomes one x a byte, digits
     become 0; words of more than two characters are kept in lower case.
     """
-    lines = F.filter(F.transform("body", trimmed), lambda x: (x != "") & ~is_comment(x))
-    joined = F.array_join(lines, "\n")
-    evened = F.regexp_replace(joined, r'(["`])[^"`]*(?:["`]|\z)', "$1xxx ")
-    words = F.filter(F.split(F.lower(F.regexp_replace(evened, "[0-9]", "0")), "[^a-z0-9_]+"), lambda x: F.length(x) > 2)
+    lines = F.transform(F.filter(F.transform("body", trimmed), lambda x: (x != "") & ~is_comment(x)), without_strings)
+    words = F.filter(F.split(F.lower(F.regexp_replace(F.array_join(lines, "\n"), "[0-9]", "0")), "[^a-z0-9_]+"), lambda x: F.length(x) > 2)
     return functions.withColumn("words", F.array_distinct(words))
 
 

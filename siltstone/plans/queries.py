@@ -122,6 +122,16 @@ def token_costs(spark, sf_dir):
     return changes.token_costs(table_, even)
 
 
+def refactoring_strategies(spark, sf_dir):
+    rows = lines(corpus(spark, sf_dir))
+    found = smells.paragraph_of_code(rows).unionByName(smells.deep_nesting(rows)).unionByName(smells.global_data(rows))
+    return changes.suggested(found, changes.strategies(spark)).select("path", F.array_join("strategies", ",").alias("strategies"))
+
+
+def language_counts(spark, sf_dir):
+    return corpus(spark, sf_dir).groupBy("lang").agg(F.count("*").alias("files"), F.sum("n_bytes").alias("n_bytes"))
+
+
 def problem_lines(spark, sf_dir):
     return report.problems(report.entries(smells=smells.paragraph_of_code(lines(corpus(spark, sf_dir)))))
 
@@ -167,6 +177,8 @@ QUERIES = {
     "hotspots": hotspots,
     "changed_findings": changed_findings,
     "token_costs": token_costs,
+    "refactoring_strategies": refactoring_strategies,
+    "language_counts": language_counts,
     "problem_lines": problem_lines,
     "sarif_rules": sarif_rules,
     "sarif_results": sarif_results,
@@ -341,6 +353,7 @@ ORACLE_SQL = {
     "changed_findings": f"""WITH {LINES}, p AS ({_PARA}) SELECT p.* FROM p JOIN documents d ON p.path = 'documents/' || d.doc_id || '.go' AND d.doc_id % 2 = 0
         WHERE line_start BETWEEN 3 AND 25 OR (line_end >= 3 AND line_start <= 25)""",
     "token_costs": f"""WITH {FILES} SELECT path, ceil(strlen(source) / 4)::BIGINT AS tokens, floor(ceil(strlen(source) / 4) * 0.4)::BIGINT AS saved, round(ceil(strlen(source) / 4) * 3.0 / 1000000, 3)::DOUBLE AS cost FROM files""",
+    "language_counts": f"WITH {FILES} SELECT lang, count(*) AS files, sum(strlen(source))::BIGINT AS n_bytes FROM files GROUP BY lang",
     "problem_lines": f"""WITH {LINES}, p AS ({_PARA}) SELECT path || ':' || line_start || ':1: warning: paragraph_of_code' AS value FROM p""",
     "scan_events": "SELECT time_bucket(INTERVAL 15 SECONDS, ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL",
 }
