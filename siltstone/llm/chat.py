@@ -1,7 +1,8 @@
 """Chat formatting with token-budgeted windows.
 
-Plan: one shuffle by conversation, ordered inside the partitions, then a pass that holds the turns
-of one window at a time. Prefix sums of turn tokens choose the spans: a window takes the system
+Plan: turns are tokenized where they lie; then one shuffle by conversation, ordered inside the
+partitions, and a pass that holds the turns of one window at a time and only joins strings, so that a
+conversation with a large share of all turns costs its task little. Prefix sums of turn tokens choose the spans: a window takes the system
 turn, as many of the latest turns as the history budget allows, and then the longest run of new
 turns that fits. Turns are never cut: one that is longer than the budget has a window of its own.
 Repeated turns (system and history) are outside the loss mask, so every assistant text is a target
@@ -129,25 +130,32 @@ def format_chats(chats: DataFrame, tokenizer_path: str, conv_col: str = "conv_id
     rows = chats.select(
         F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), text_or_empty(F.col(role_col)).alias("role"), text_or_empty(F.col(text_col)).alias("text")
     )
-    dealt = rows.repartition(shuffle_width(chats.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    counted = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("text", pa.string()), ("n", pa.int64())])
 
-    def windows(batches):
+    def count(batches):
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(tokenizer_path)
         tokenizer.encode_special_tokens = True
-        now = None
         for batch in batches:
-            conv, role, text = (batch.column(i).to_pylist() for i in (0, 2, 3))
-            for at in range(0, len(conv), 512):
-                made = [format_turn(r, t) for r, t in zip(role[at : at + 512], text[at : at + 512], strict=True)]
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                made = [format_turn(r, t) for r, t in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
                 sizes = [len(x.ids) for x in tokenizer.encode_batch_fast(made, add_special_tokens=False)]
-                for c, r, t, n in zip(conv[at : at + 512], role[at : at + 512], text[at : at + 512], sizes, strict=True):
-                    if now is None or now.conv != c:
-                        if now is not None:
-                            yield from now.finish()
-                        now = Windows(c, budget, history_turns, int(budget * HISTORY_SHARE))
-                    yield from now.push(r, t, n)
+                yield pa.RecordBatch.from_arrays([*(c.cast(t) for c, t in zip(part.columns, counted.types[:4], strict=True)), pa.array(sizes, pa.int64())], schema=counted)
+
+    sized = rows.mapInArrow(count, "conv_id long, turn long, role string, text string, n long")
+    dealt = sized.repartition(shuffle_width(chats.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+
+    def windows(batches):
+        now = None
+        for batch in batches:
+            for c, r, t, n in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4)), strict=True):
+                if now is None or now.conv != c:
+                    if now is not None:
+                        yield from now.finish()
+                    now = Windows(c, budget, history_turns, int(budget * HISTORY_SHARE))
+                yield from now.push(r, t, n)
         if now is not None:
             yield from now.finish()
 
