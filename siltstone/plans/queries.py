@@ -294,7 +294,29 @@ _PARA = f"""SELECT {row("paragraph_of_code", "'warning'", "min(line_no)", "max(l
   FROM (SELECT *, line_no - row_number() OVER (PARTITION BY path ORDER BY line_no) AS island FROM lines WHERE {SOLID}) {TH}
   GROUP BY path, island, paragraph HAVING count(*) > paragraph"""
 
+_NAMED = "name NOT IN ('unknown', 'anonymous')"
+_WORDS = "list_distinct(list_filter(string_split_regex(lower(regexp_replace(coalesce(string_agg(CASE WHEN NOT blank AND NOT comment THEN text END, chr(10) ORDER BY k), ''), '[0-9]', '0', 'g')), '[^a-z0-9_]+'), lambda x: length(x) > 2))"
+_DUPLICATION = f"""WITH {LINES}, {FN},
+    w AS (SELECT path, lang, ord, line_start, {_WORDS} AS words FROM body {TH} WHERE {_NAMED} AND line_count >= dup_lines GROUP BY path, lang, ord, line_start),
+    p AS (SELECT a.path, a.lang, a.line_start AS x, b.line_start AS y, len(list_intersect(a.words, b.words)) / len(list_distinct(a.words || b.words)) AS alike FROM w a JOIN w b ON a.path = b.path AND a.ord < b.ord)
+    SELECT {row("code_duplication", "'warning'", "x", "y", "round(alike, 2)")} FROM p {TH} WHERE alike >= dup_similarity"""
+_STRIP = "[()\\[\\]{}*&,.;:\"'']+"
+_TYPES = f"list_distinct(list_filter(list_transform(string_split_regex(string_agg(text, ' ' ORDER BY k), '\\s+'), lambda w: regexp_replace(w, '^{_STRIP}|{_STRIP}$', '', 'g')), lambda w: strlen(w) >= 3 AND NOT list_contains([{', '.join(fixtures.text(x) for x in function_smells.NOT_TYPES)}], lower(w)) AND regexp_matches(w, '^[A-Z]')))"
+_COHESION = f"""WITH {LINES}, {FN},
+    f AS (SELECT * FROM fn WHERE {_NAMED} AND line_count >= 2),
+    c AS (SELECT path, count(*) AS n, count(DISTINCT name) AS names FROM f GROUP BY path),
+    t AS (SELECT b.path, b.name, unnest({_TYPES}) AS type FROM body b JOIN (SELECT path, name, max(ord) AS ord FROM f GROUP BY ALL) l USING (path, name, ord) WHERE k <= 10 GROUP BY b.path, b.name),
+    s AS (SELECT a.path, count(DISTINCT a.name) AS shared FROM t a JOIN t b ON a.path = b.path AND a.type = b.type AND a.name <> b.name GROUP BY a.path)
+    SELECT path, n, names - coalesce(shared, 0) AS isolated, CASE WHEN n <= 3 THEN 1.0::DOUBLE ELSE (n - (names - coalesce(shared, 0))) / n END AS cohesion FROM c LEFT JOIN s USING (path)"""
+
+#: Findings of the two sequential detectors in the fixtures, worked out by hand.
+SEQUENTIAL_ROWS = [("fix/switch.go", "long_switch", "warning", 2, 29, 13.0), ("fix/long.go", "long_scope_variable", "warning", 2, 93, 91.0)]
+
 ORACLE_SQL = {
+    "smell_code_duplication": _DUPLICATION,
+    "cohesion": _COHESION,
+    "smell_low_cohesion": f"WITH c AS ({_COHESION}) SELECT {row('low_cohesion', 'CASE WHEN cohesion < 0.3 THEN ' + chr(39) + 'alert' + chr(39) + ' ELSE ' + chr(39) + 'warning' + chr(39) + ' END', '0', '0', 'cohesion')} FROM c WHERE n >= 5 AND cohesion < 0.5",
+    **{f"smell_{x[1]}": f"SELECT path, smell, severity, line_start, line_end, value::DOUBLE AS value FROM (VALUES {fixtures.values([x])}) v(path, smell, severity, line_start, line_end, value)" for x in SEQUENTIAL_ROWS},
     "file_lines": f"""WITH {LINES} SELECT path, lang, count(*) AS n, sum(blank::INT)::BIGINT AS blanks, sum(comment::INT)::BIGINT AS comments,
         sum(opens)::BIGINT AS opens, sum(closes)::BIGINT AS closes FROM lines GROUP BY path, lang""",
     "function_extents": f"WITH {LINES}, {FN} SELECT path, lang, name, line_start, line_count FROM fn",
@@ -357,3 +379,27 @@ ORACLE_SQL = {
     "problem_lines": f"""WITH {LINES}, p AS ({_PARA}) SELECT path || ':' || line_start || ':1: warning: paragraph_of_code' AS value FROM p""",
     "scan_events": "SELECT time_bucket(INTERVAL 15 SECONDS, ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL",
 }
+
+
+_ALL_SMELLS = " UNION ALL ".join(f"SELECT path, smell, severity, line_start, line_end, value FROM ({sql})" for name, sql in ORACLE_SQL.items() if name.startswith("smell_"))
+
+
+def _excess(v: str, bound: str, factor: float, cap: float) -> str:
+    return f"CASE WHEN {v} <= {bound} THEN 0.0::DOUBLE ELSE least({cap}::DOUBLE, {factor}::DOUBLE * log2({v} / {bound})) END"
+
+
+_SCORES = f"""WITH {LINES}, {FN}, found AS ({_ALL_SMELLS}), coh AS ({_COHESION}),
+    per AS (SELECT path, sum(CASE severity WHEN 'critical' THEN 0.5 WHEN 'alert' THEN 0.25 ELSE 0.1 END)::DOUBLE AS smell, count(*) FILTER (smell = 'code_duplication') AS pairs, count(*) AS n_smells FROM found GROUP BY path),
+    r AS (SELECT path, count(*) AS n_real FROM fn WHERE {REAL} GROUP BY path),
+    j AS (SELECT sp.path, sp.lang, len(ls) AS loc, coalesce(n_smells, 0) AS n_smells, coalesce(smell, 0) AS smell, coalesce(pairs, 0) AS pairs, coalesce(n_real, 0) AS n_real, coalesce(n, 0) AS n, coalesce(cohesion, 1.0) AS cohesion
+          FROM sp LEFT JOIN per USING (path) LEFT JOIN r USING (path) LEFT JOIN coh USING (path)),
+    s AS (SELECT path, lang, loc, n_smells, 10 - {_excess("loc", "file_loc_w", 1.5, 3.0)} - {_excess("n_real", "func_count_w", 0.8, 1.5)} - least(smell, 3.0) - least(pairs * 0.15, 2.0)
+                 - CASE WHEN n >= 5 AND cohesion < 0.5 THEN least((1 - cohesion) * 2, 1.5) ELSE 0 END AS left_ FROM j {TH}),
+    scored AS (SELECT path, lang, loc, n_smells, least(100, greatest(0, floor(round(greatest(left_, 1.0) * 10, 9) + 0.5)))::INT AS score FROM s)"""
+_LABEL = "CASE WHEN score >= 80 THEN 'Go Ahead' WHEN score >= 60 THEN 'Proceed with Care' WHEN score >= 40 THEN 'Needs Work' ELSE 'Stop & Refactor' END"
+ORACLE_SQL |= {
+    "quality_scores": f"{_SCORES} SELECT *, {_LABEL} AS label FROM scored",
+    "quality_overall": f"{_SCORES}, o AS (SELECT count(*) AS files, floor(sum(score) / count(*))::INT AS score FROM scored) SELECT files, score, {_LABEL} AS label FROM o",
+    "quality_labels": f"{_SCORES}, l AS (SELECT score, {_LABEL} AS label FROM scored) SELECT label, count(*) AS files, min(score) AS least, max(score) AS most FROM l GROUP BY label",
+    "smell_severities": f"WITH found AS ({_ALL_SMELLS}) SELECT smell, severity, count(*) AS n, count(DISTINCT path) AS files FROM found GROUP BY ALL",
+}
