@@ -29,12 +29,22 @@ END_ID = 2
 #: Remainders that wait in a partition's pool at most; the packing begins when there are as many.
 POOL = 768
 #: Words in one of the two generations of ids that a worker remembers.
-CACHE = 700_000
+CACHE = 250_000
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
 
+def byte_letters() -> dict[int, str]:
+    """The character that stands for each byte in byte-level vocabularies: printable ones for themselves, the others from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    return {b: chr(b if b in plain else next(rest)) for b in range(256)}
+
+
+BYTE_LETTERS = byte_letters()
+
+
 class Words(dict):
     """Ids of words without spaces, as little-endian uint32 bytes; what is missing is made on the way.
 
@@ -46,6 +56,13 @@ class Words(dict):
         self.tokenizer, self.limit, self.old = tokenizer, limit, {}
         self[""] = b""
         self.marks = {mark: self.encode(mark) for mark in ".,"}
+        # letters form one token candidate; where the model itself gives the same, the steps before it are left out
+        self.direct = all(self.pieces(w) == self.encode(w) for w in ("retitioning", "été", "größe", "ñandú", "q"))
+
+    def pieces(self, word: str) -> bytes:
+        """Ids of a word of lower-case letters below U+0100, straight from a byte-level model."""
+        found = self.tokenizer.model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_LETTERS))
+        return b"".join([x.id.to_bytes(4, "little") for x in found])
 
     def encode(self, word: str) -> bytes:
         ids = self.tokenizer.encode(word, add_special_tokens=False).ids
@@ -56,8 +73,9 @@ class Words(dict):
         if found is None:
             if word[-1] in self.marks and len(word) > 1 and word[-2].isalpha() and "<" not in word:
                 found = self[word[:-1]] + self.marks[word[-1]]  # letters and marks never share a token
-            elif word.isalpha() and not word.islower() and (small := word.lower()) != word and max(word) < "\u0100":
-                found = self[small]  # the vocabulary knows lower case only
+            elif word.isalpha() and max(word) < "\u0100":
+                small = word.lower()  # the vocabulary knows lower case only
+                found = self[small] if small != word else self.pieces(word) if self.direct else self.encode(word)
             else:
                 found = self.encode(word)
         self[word] = found
