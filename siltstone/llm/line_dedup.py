@@ -27,7 +27,7 @@ MIN_CHARS = 20
 PIECES = 4
 #: Distinct lines of a key beyond which the lines are keyed again by finer pieces.
 CROWD = 24
-#: Bound on the number of lines that are folded by a broadcast; each has a larger share of all lines than one in so many.
+#: Bound on the number of lines that are folded by a broadcast, the most common ones; no other can be more than one line in so many.
 MOST_COMMON = 10_000
 #: The finest partition; lines of at most as many characters have single characters as pieces.
 FINEST = 4096
@@ -198,10 +198,10 @@ def links(all_lines: DataFrame, common: DataFrame | None = None, threshold: int
     return pairs.join(left, "a").join(right, "b").where(within(F.col("x"), F.col("y"), threshold)).select("a", "b")
 
 
-def most_common(counted: DataFrame) -> DataFrame:
-    """(h1) of the lines with more than a ten-thousandth of all lines, and over 1,000 copies: fewer than MOST_COMMON."""
-    total = counted.agg(F.sum("copies")).first()[0] or 0
-    return counted.where(F.col("copies") > max(1000, total // MOST_COMMON)).select("h1").distinct()
+def most_common(all_lines: DataFrame) -> DataFrame:
+    """(h1) of the MOST_COMMON lines with the most copies, over 1,000 each; any other line has a smaller share of all lines."""
+    counted = all_lines.groupBy("h1").agg(F.count("*").alias("copies")).where("copies > 1000")
+    return counted.orderBy(F.desc("copies"), "h1").limit(MOST_COMMON).select("h1")
 
 
 def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 1, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -219,8 +219,8 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     every = lines(docs, id_col, text_col)
     place = F.struct(F.coalesce("doc", F.lit(-(1 << 63))).alias("doc"), "line_no")
     spots = every.select(place["doc"].alias("doc"), "line_no", "h1", "h2")
-    firsts = cut(spots.groupBy("h1", "h2").agg(F.min(F.struct("doc", "line_no")).alias("first"), F.count("*").alias("copies")))
-    near = cut(links(every, most_common(firsts), threshold, min_chars))
+    firsts = spots.groupBy("h1", "h2").agg(F.min(F.struct("doc", "line_no")).alias("first"))
+    near = cut(links(every, cut(most_common(every)), threshold, min_chars))
     both = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
     linked = both.join(firsts.select(F.col("h1").alias("b"), F.col("first").alias("other")), "b").groupBy("a").agg(F.min("other").alias("best"), F.count("*").alias("n_links"))
     known = firsts.join(linked, F.col("h1") == F.col("a"), "left").select("h1", "h2", "first", "best", F.coalesce("n_links", F.lit(0)).alias("n_links"))
