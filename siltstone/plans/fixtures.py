@@ -36,6 +36,7 @@ FILES = [
     ("fix/risks.js", "javascript", JS_RISKS),
     ("fix/risks.go", "go", GO_RISKS),
     ("fix/.github/workflows/ci.yml", "yaml", WORKFLOW),
+    ("fix/notes.go", "go", "// Teh lenght is definately seperate, teh end\nx := recieve()\n"),
     ("fix/empty.go", "go", ""),
     ("fix/newline.go", "go", "\n"),
 ]

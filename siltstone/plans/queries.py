@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import SPACE, redacted
-from ..operators import blocks, changes, function_smells, report, score, secrets, smells, vulnerabilities
+from ..operators import blocks, changes, function_smells, lint, report, score, secrets, smells, vulnerabilities
 from ..operators.functions import functions
 from ..operators.lines import lines
 from ..operators.secret_rules import built_in
@@ -128,6 +128,10 @@ def refactoring_strategies(spark, sf_dir):
     return changes.suggested(found, changes.strategies(spark)).select("path", F.array_join("strategies", ",").alias("strategies"))
 
 
+def misspelled_words(spark, sf_dir):
+    return lint.misspell(lines(corpus(spark, sf_dir)))
+
+
 def language_counts(spark, sf_dir):
     return corpus(spark, sf_dir).groupBy("lang").agg(F.count("*").alias("files"), F.sum("n_bytes").alias("n_bytes"))
 
@@ -178,6 +182,7 @@ QUERIES = {
     "changed_findings": changed_findings,
     "token_costs": token_costs,
     "refactoring_strategies": refactoring_strategies,
+    "misspelled_words": misspelled_words,
     "language_counts": language_counts,
     "problem_lines": problem_lines,
     "sarif_rules": sarif_rules,
@@ -375,6 +380,9 @@ ORACLE_SQL = {
     "changed_findings": f"""WITH {LINES}, p AS ({_PARA}) SELECT p.* FROM p JOIN documents d ON p.path = 'documents/' || d.doc_id || '.go' AND d.doc_id % 2 = 0
         WHERE line_start BETWEEN 3 AND 25 OR (line_end >= 3 AND line_start <= 25)""",
     "token_costs": f"""WITH {FILES} SELECT path, ceil(strlen(source) / 4)::BIGINT AS tokens, floor(ceil(strlen(source) / 4) * 0.4)::BIGINT AS saved, round(ceil(strlen(source) / 4) * 3.0 / 1000000, 3)::DOUBLE AS cost FROM files""",
+    "misspelled_words": f"""WITH {LINES}, d AS (SELECT * FROM (VALUES {fixtures.values(sorted(lint.MISSPELLINGS.items()))}) v(wrong, "right")),
+        w AS (SELECT path, line_no, unnest(regexp_extract_all(lower(line), '[a-z]+')) AS wrong FROM ln)
+        SELECT path, line_no, wrong, "right", count(*) AS n FROM w JOIN d USING (wrong) GROUP BY ALL""",
     "language_counts": f"WITH {FILES} SELECT lang, count(*) AS files, sum(strlen(source))::BIGINT AS n_bytes FROM files GROUP BY lang",
     "problem_lines": f"""WITH {LINES}, p AS ({_PARA}) SELECT path || ':' || line_start || ':1: warning: paragraph_of_code' AS value FROM p""",
     "scan_events": "SELECT time_bucket(INTERVAL 15 SECONDS, ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL",
