@@ -1,7 +1,8 @@
 """The corpus pipeline: quality, copies, near copies, benchmark passages, packing.
 
 Every stage takes what its predecessor kept, whole, and its decisions take effect; all but the last
-return the columns of ``documents``.
+return the columns of ``documents``. Rows that share a doc_id go together where one of them goes;
+rows without one stay. Null texts count as empty. Empty tables pass through all stages.
 """
 
 from __future__ import annotations

@@ -29,7 +29,7 @@ def view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return held[at[0] : at[-1]], at - at[0]
 
 
-def chunks(batches: Iterator[pa.RecordBatch], column: int, limit: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def chunks(batches: Iterator[pa.RecordBatch], column: int, limit: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of the batches whose ``column`` holds about ``limit`` bytes, each with its view; whole rows only."""
     for batch in batches:
         _, offsets = view(batch.column(column))

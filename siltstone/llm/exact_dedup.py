@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import shuffle_width, text_or_empty
 
 #: Bytes of text that a map-side trie holds before it hands over its largest subtree.
-TRIE_BYTES = 48 << 20
+TRIE_BYTES = 16 << 20
 
 
 class Node:
@@ -119,7 +119,14 @@ def _key(length: int, hashed: int) -> bytes:
     return length.to_bytes(8, "big") + hashed.to_bytes(8, "big", signed=True)
 
 
-def _batches(rows: Iterator, schema: pa.Schema, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def parts(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches, so that few rows at a time become Python objects."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def _batches(rows: Iterator, schema: pa.Schema, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     held, size = [], 0
     for row in rows:
         held.append(row)
@@ -140,9 +147,8 @@ def _fold(keep: str, limit: int):
 
     def rows(batches):
         trie = PatriciaTrie(keep)
-        for batch in batches:
-            n, h, body, ids = (batch.column(i) for i in range(4))
-            for length, hashed, text, owner in zip(n.to_pylist(), h.to_pylist(), body.to_pylist(), ids.to_pylist(), strict=True):
+        for batch in parts(batches):
+            for length, hashed, text, owner in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 trie.insert(_key(length, hashed) + text, owner)
                 while trie.bytes > limit and trie.root.children:
                     yield from map(split, trie.spill())
@@ -161,7 +167,7 @@ def _merge(keep: str):
 
     def rows(batches):
         trie, pair = PatriciaTrie(keep), None
-        for batch in batches:
+        for batch in parts(batches):
             for length, hashed, text, owner, count in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (length, hashed) != pair:
                     yield from done(trie)

@@ -114,7 +114,7 @@ ORACLE_SQL = {
                           coalesce(n_links, 0) AS n_links, least(first, coalesce(best, first)).d AS class_doc
                    FROM l LEFT JOIN f USING (line) LEFT JOIN k USING (line))
         SELECT doc_id, count(*) FILTER (line <> '') AS n_lines, count(*) FILTER (line <> '' AND kept) AS n_kept,
-               coalesce(sum(n_links) FILTER (line <> ''), 0) AS n_links, coalesce(min(class_doc) FILTER (line <> ''), doc_id) AS class_id,
+               coalesce(sum(n_links) FILTER (line <> ''), 0)::BIGINT AS n_links, coalesce(min(class_doc) FILTER (line <> ''), doc_id) AS class_id,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (kept), '')) AS kept_sha256
         FROM c GROUP BY doc_id""",
     "op4_decontamination": f"""
