@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from .common import text_or_empty
 
 TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^'">]++|"[^"]*+"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*+)>|<[!?/][^>]*+>?|[^<]++|<""",
+    # no alternative runs past the next "<" except in comments and in quotes of bounded length, so any page is read in linear time
+    r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/<>]*)((?:[^'"<>]++|"[^"]{0,4096}+"|'[^']{0,4096}+')*+)>|<(/?)([A-Za-z][^\s/<>]*)([^<>]*+)>|<[!?/][^<>]*+>?|[^<]++|<""",
     re.DOTALL,
 )
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")

@@ -67,3 +67,13 @@ def test_packing_stage_holds_every_document(stages):
 def test_run_equals_the_stages(spark, stages):
     got = {r.doc_id for r in corpus_pipeline.run(spark, SF).select("doc_id").distinct().collect()}
     assert got == {r.doc_id for r in stages[4][1].select("doc_id").distinct().collect()}
+
+
+@pytest.mark.parametrize("rows", [[], [(None, None, None, None, None), (1, None, "en", "a", 0), (1, "", "en", "a", 0), (2, "word " * 20_000, None, None, None), (None, "some words", "en", "a", 10)]])
+def test_stages_take_empty_tables_and_odd_rows(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        docs = stage(spark, docs, SF)
+        if k < 4:
+            assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    assert docs.count() >= len(rows) - 2

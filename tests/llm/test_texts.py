@@ -32,6 +32,7 @@ PAGES = [
     (f"<div role=main>{BODY}</div><div class='cookie-notice'><p>We use cookies, many, many.</p></div><!-- <p>x</p> -->", WANT),
     (f"<article>{BODY}<aside>aside, text</aside><div class='ad'>Buy, now, here</div><p hidden>no</p></article>", WANT),
     (f"<div class='layout has-sidebar category-legal'><div class=header><p>Site, name, here</p></div><div class=content>{BODY}</div></div>", WANT),
+    ("<article><p title='a > b < c'>x</p><a data-x=\"<b>y</b>\">z</a></article>", "x z"),
     ("<p>a<p>b<br>c <b>d</b>e", "a b c de"),
     ("<table><tr><td>a<td>b<tr><td>c</table>", "a b c"),
     ("plain &lt;text&gt; &am", "plain <text> &am"),
@@ -53,6 +54,11 @@ def test_main_text(spark):
     assert html_extract.extract(table(spark, [], "page_id long, url string, html string")).count() == 0
 
 
+@pytest.mark.parametrize("page", ['<a "' * 50_000, "<a " * 50_000, "<!-" * 50_000, "<p>x" * 50_000, "</p>" * 50_000])
+def test_hostile_pages_take_linear_time(page):
+    assert isinstance(html_extract.main_text(page), str)
+
+
 def test_pages_keep_their_articles_whole(spark):
     import html
 
