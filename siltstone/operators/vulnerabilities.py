@@ -7,6 +7,8 @@ them as RE2 does.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,9 +48,65 @@ def without_aliases(text: Column) -> Column:
     return F.when(text.rlike(ALIAS), F.aggregate(both, text, lambda t, p: F.regexp_replace(t, quoted(p), F.concat(F.replace(F.replace(p["module"], F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$")), F.lit("."))))).otherwise(text)
 
 
+def branches(pattern: str) -> list[str]:
+    """The alternatives of a pattern outside all groups."""
+    out, depth, inside, k, start = [], 0, False, 0, 0
+    while k < len(pattern):
+        c = pattern[k]
+        if c == "\\":
+            k += 2
+            continue
+        if inside:
+            inside = c != "]"
+        elif c == "[":
+            inside = True
+        elif c in "()":
+            depth += 1 if c == "(" else -1
+        elif c == "|" and not depth:
+            out.append(pattern[start:k])
+            start = k + 1
+        k += 1
+    return [*out, pattern[start:]]
+
+
+def needles(pattern: str, least: int = 3) -> tuple[str, ...] | None:
+    """Literals of which every match holds one, the longest of each alternative; None where one has none."""
+    if "(?i)" in pattern:
+        return None
+    found = []
+    for branch in branches(pattern):
+        runs, run, depth, inside, k = [], "", 0, False, 0
+        while k < len(branch):
+            c, step, literal = branch[k], 1, ""
+            if c == "\\":
+                step, literal = 2, branch[k + 1] if not branch[k + 1].isalnum() else ""
+            elif inside:
+                inside = c != "]"
+            elif c == "[":
+                inside = True
+            elif c in "()":
+                depth += 1 if c == "(" else -1
+            elif c not in ".^$*+?{}":
+                literal = c
+            optional = branch[k + step : k + step + 1] in ("?", "*", "{")
+            if literal and not depth and not inside and not optional:
+                run += literal
+            else:
+                runs.append(run)
+                run = ""
+            k += step
+        best = max([*runs, run], key=len)
+        if len(best) < least:
+            return None
+        found.append(best)
+    return tuple(dict.fromkeys(found))
+
+
 def position(rule: Rule, text: Column, ext: Column) -> Column:
     """1-based character of the first match; null without one."""
     tries = [F.nullif(F.regexp_instr(text, F.lit(portable(rule.pattern))), F.lit(0))] if rule.pattern else []
+    if rule.pattern and (due := needles(rule.pattern)):  # a search for literals is far cheaper than a pattern
+        tries = [F.when(reduce(lambda x, y: x | y, [text.contains(n) for n in due]), tries[0])]
     tries += [F.nullif(F.locate(x, text), F.lit(0)) for x in rule.literals]
     at = F.coalesce(*tries)
     gate = F.lit(True)

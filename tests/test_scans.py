@@ -87,3 +87,20 @@ def test_changed_findings_keep_both_clauses(spark):
     found = spark.createDataFrame([("a", 5, 0), ("a", 1, 3), ("a", 9, 9), ("b", 5, 5)], "path string, line_start int, line_end int")
     ranges = spark.createDataFrame([("a", 3, 5), ("a", 4, 6)], "path string, start int, end int")
     assert sorted(r.line_start for r in changes.changed_findings(found, ranges).collect()) == [1, 5]
+
+
+@pytest.mark.parametrize(
+    ("pattern", "want"),
+    [
+        (r"\beval\(", ("eval(",)),
+        (r"child_process\.exec|execSync\(", ("child_process.exec", "execSync(")),
+        (r"verify\s*=\s*False", ("verify",)),
+        (r"colou?r(ed)+x", ("colo",)),
+        (r"(a|b)\.c", None),
+        (r"(?i)sha", None),
+        (r"[abc|]def{2}", None),
+        (r"abc\d+\|xyzw", ("|xyzw",)),
+    ],
+)
+def test_needles_are_in_every_match(pattern, want):
+    assert vulnerabilities.needles(pattern) == want
