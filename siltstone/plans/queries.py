@@ -389,6 +389,10 @@ ORACLE_SQL = {
 }
 
 
+_STRATEGIES = " UNION ALL ".join(f"SELECT path, smell FROM ({ORACLE_SQL[f'smell_{x}']})" for x in ("paragraph_of_code", "deep_nesting", "global_data"))
+ORACLE_SQL["refactoring_strategies"] = f"""SELECT path, coalesce(string_agg(DISTINCT strategy, ',' ORDER BY strategy), '') AS strategies
+    FROM ({_STRATEGIES}) LEFT JOIN (VALUES {fixtures.values(sorted(changes.STRATEGIES.items()))}) v(smell, strategy) USING (smell) GROUP BY path"""
+
 _ALL_SMELLS = " UNION ALL ".join(f"SELECT path, smell, severity, line_start, line_end, value FROM ({sql})" for name, sql in ORACLE_SQL.items() if name.startswith("smell_"))
 
 
