@@ -312,5 +312,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if not late.isEmpty():
             classes = components(links.unionByName(late))
     member = all_rows.select("id", "tid").join(classes, F.col("tid") == F.col("node"), "left").select("id", F.coalesce("label", "tid").alias("class"))
-    sizes = member.groupBy("class").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size"))
+    # checkpointed, so that the join below stands on two plain exchanges and Spark can split a large class
+    sizes = cut(member.groupBy("class").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size")))
     return member.join(sizes, "class").select(F.col("id").alias(id_col), "class_id", "class_size", (F.col("class_id").isNull() | F.coalesce(F.col("id") == F.col("class_id"), F.lit(False))).alias("kept"))
