@@ -3,14 +3,18 @@
 The patterns give the base spans. A conditional random field over the tokens that hold a digit or an
 ``@`` (no other token can be labelled) then adds spans that they miss: neighbours are linked in a
 chain, and each token is linked to the next one in the document that is equal to it, or has the same
-digits, so that all mentions of one value tend to one label. Loopy belief propagation runs over many
+digits, so that all mentions of one value tend to one label. Tokens that write the value of a base span
+in another way (without its prefix, with other separators) are linked to that span. Tokens of base
+spans are evidence: they hold their label while messages pass. Loopy belief propagation runs over many
 documents at once, as their graphs are disjoint. The weights are fitted on base spans of a bounded
-sample. One narrow pass; documents without a digit or an ``@`` cost one search.
+sample, where missed repeats of a base span count as unknown. One narrow pass; documents without a
+digit or an ``@`` cost one search.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,6 +28,8 @@ KINDS = ("email", "ip", "card", "phone")
 #: Documents with a digit or an @ that the training reads at most, the first ones by a hash of the id.
 SAMPLE = 400
 ITERATIONS, DAMPING, SURE = 8, 0.5, 0.9
+#: Digits by which a part of a number still tells the value, tokens that one mention can have, and characters of context on each side.
+TELLING, MENTION, AROUND = 7, 8, 24
 
 HINT = re.compile("[0-9@]")
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -90,11 +96,37 @@ def tokens(text: str) -> list[tuple[int, int, int]]:
     return [x for x in found if x[2] > x[1]]
 
 
-N_FEATURES = 26
+#: Features of the token itself, and buckets of the word on each side.
+N_OWN, BUCKETS = 26, 32
+N_FEATURES = N_OWN + 2 * BUCKETS
+
+
+def context(text: str, start: int, end: int) -> list[int]:
+    """Numbers of the features that the words around a token give."""
+    sides = text[max(0, start - AROUND) : start].split()[-1:], text[end : end + AROUND].split()[:1]
+    on = []
+    for side, words in enumerate(sides):
+        word = words[0].strip(EDGE).lower() if words else ""
+        on.append(N_OWN + side * BUCKETS + (0 if not word else 1 if HINT.search(word) else 2 + zlib.crc32(word.encode("utf-8", "replace")) % (BUCKETS - 2)))
+    return on
+
+
+def digits_of(word: str) -> str:
+    return "".join(c for c in word if "0" <= c <= "9")
+
+
+def ways(kind: int, value: str) -> set[str]:
+    """Keys of the ways to write a value: an address by its local part or its four numbers, a number by its telling ends."""
+    if kind == 0:
+        return {value.lower().partition("@")[0] + "@"}
+    if kind == 1:
+        return {".".join(re.findall("[0-9]+", value))}
+    digits = digits_of(value)
+    return {digits[k:] for k in range(len(digits) - TELLING + 1)}
 
 
 def features(word: str) -> list[int]:
-    """Numbers of the features that a token has."""
+    """Numbers of the features that a token has by itself."""
     digits = sum("0" <= c <= "9" for c in word)
     letters = sum(c.isalpha() for c in word)
     dots = word.count(".")
@@ -113,6 +145,7 @@ class Model:
     unary: np.ndarray  # N_FEATURES x labels
     chain: np.ndarray  # labels x labels
     skip: np.ndarray  # labels x labels
+    value: np.ndarray | None = None  # labels x labels, for tokens that tell one value; without it as skip
 
 
 class Graph:
@@ -123,28 +156,70 @@ class Graph:
         self.spans: list[tuple[int, int]] = []
         self.on: list[list[int]] = []
         self.labels: list[int] = []
+        self.repeats: set[int] = set()  # tokens without a label that tell the value of a base span
         self.chain: list[tuple[int, int]] = []
         self.skip: list[tuple[int, int]] = []
+        self.value: list[tuple[int, int]] = []
 
     def add(self, row: int, text: str, base: list[tuple[int, int, int]]) -> None:
         last, before, k = {}, -9, 0
-        for order, start, end in tokens(text):
+        origin, found, known = len(self.rows), tokens(text), {}
+        for order, start, end in found:
             me, word = len(self.rows), text[start:end]
             while k < len(base) and base[k][2] <= start:
                 k += 1
-            label = next((1 + kind for a, kind, b in base[k : k + 4] if a < end and b > start), 0)
+            over = next((x for x in base[k : k + 4] if x[0] < end and x[2] > start), None)
             self.rows.append(row)
             self.spans.append((start, end))
-            self.on.append(features(word))
-            self.labels.append(label)
+            self.on.append(features(word) + context(text, start, end))
+            self.labels.append(0 if over is None else 1 + over[1])
+            if over is not None:
+                known.setdefault(over, me)
             if order - before <= 2 and before >= 0:
                 self.chain.append((me - 1, me))
-            digits = "".join(c for c in word if "0" <= c <= "9")
+            digits = digits_of(word)
+            telling = "@" in word or len(digits) >= 6
             for key in {word.lower(), digits if len(digits) >= 6 else word.lower()}:
                 if key in last:
-                    self.skip.append((last[key], me))
+                    (self.value if telling else self.skip).append((last[key], me))
                 last[key] = me
             before = order
+        if known:
+            self.link(text, found, origin, known)
+
+    def link(self, text: str, found: list[tuple[int, int, int]], origin: int, known: dict) -> None:
+        """Link tokens outside base spans that tell the value of one to a token of it."""
+        told = {}
+        for (start, kind, end), me in known.items():
+            for key in ways(kind, text[start:end]):
+                told.setdefault(key, me)
+        plain = [not x for x in self.labels[origin:]]
+        words = [text[start:end] for _, start, end in found]
+        linked = {}
+        for k, word in enumerate(words):
+            if not plain[k]:
+                continue
+            if "@" in word:
+                keys = ways(0, word)
+            else:
+                groups = re.findall("[0-9]+", word)
+                keys = {".".join(groups)} if len(groups) == 4 else set()
+            for key in keys & told.keys():
+                linked.setdefault(k, told[key])
+            digits = ""
+            for j in range(k, min(k + MENTION, len(words))):
+                if not plain[j] or j > k and found[j][0] != found[j - 1][0] + 1 or "@" in words[j]:
+                    break
+                digits += digits_of(words[j])
+                if len(digits) > 24:
+                    break
+                hit = told.get(digits, told.get(digits.lstrip("0"))) if len(digits) >= TELLING else None
+                if hit is not None:
+                    for t in range(k, j + 1):
+                        linked.setdefault(t, hit)
+        for k, known_token in linked.items():
+            self.repeats.add(origin + k)
+            self.value.append((known_token, origin + k))
 
     def matrix(self) -> np.ndarray:
         x = np.zeros((len(self.on), N_FEATURES))
@@ -156,37 +231,46 @@ class Graph:
 def train(texts: list[str], rounds: int = 300, rate: float = 0.5) -> Model:
     """Unary weights by softmax regression on base labels, pair weights from smoothed co-occurrence.
 
-    Without any token in the sample all weights are 0 and the field adds nothing.
+    Repeats that the patterns miss are unknown, not negative: they and their edges take no part.
+    Mentions of one value agree unless the sample says otherwise. Without any token in the sample all weights are 0 and the field adds nothing.
     """
     graph, n = Graph(), len(KINDS) + 1
     for text in texts:
         graph.add(0, text, base_spans(text))
     if not graph.labels:
         return Model(np.zeros((N_FEATURES, n)), np.zeros((n, n)), np.zeros((n, n)))
-    x, y = graph.matrix(), np.eye(n)[graph.labels]
-    w = np.zeros((N_FEATURES, n))
+    known = np.ones(len(graph.labels), bool)
+    known[list(graph.repeats)] = False
+    x, y = graph.matrix()[known], np.eye(n)[np.array(graph.labels)[known]]
+    w, decay = np.zeros((N_FEATURES, n)), np.full((N_FEATURES, 1), 0.001)
+    decay[N_OWN:] = 1.0  # words around are many, so each says little
     for _ in range(rounds):
         p = np.exp(x @ w - (x @ w).max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
-        w += rate * (x.T @ (y - p) / len(x) * 4 - 0.001 * w)
+        w += rate * (x.T @ (y - p) / len(x) * 4 - decay * w)
 
-    def pairs(edges):
-        seen = np.full((n, n), 0.5)
+    def pairs(edges, seen, most):
         for a, b in edges:
-            seen[graph.labels[a], graph.labels[b]] += 1
+            if known[a] and known[b]:
+                seen[graph.labels[a], graph.labels[b]] += 1
         joint = seen / seen.sum()
-        return np.clip(np.log(joint / np.outer(joint.sum(1), joint.sum(0))), -2, 2)
+        return np.clip(np.log(joint / np.outer(joint.sum(1), joint.sum(0))), -most, most)
 
-    return Model(w, pairs(graph.chain), pairs(graph.skip))
+    even = np.full((n, n), 0.5)
+    return Model(w, pairs(graph.chain, even.copy(), 2), pairs(graph.skip, even.copy(), 2), pairs(graph.value, np.full((n, n), 0.001) + 50 * np.eye(n), 8))
 
 
 def marginals(graph: Graph, model: Model, iterations: int = ITERATIONS) -> np.ndarray:
-    """Beliefs of all tokens after loopy sum-product message passing with damping."""
+    """Beliefs of all tokens after loopy sum-product message passing with damping; labelled tokens keep their label."""
     unary = graph.matrix() @ model.unary
-    edges = np.array(graph.chain + graph.skip, np.int64).reshape(-1, 2)
+    labels = np.array(graph.labels, np.int64)
+    held = np.flatnonzero(labels)
+    unary[held] = -100.0
+    unary[held, labels[held]] = 0.0
+    edges = np.array(graph.chain + graph.skip + graph.value, np.int64).reshape(-1, 2)
     belief = unary.copy()
     if len(edges):
-        pair = np.concatenate([np.repeat(model.chain[None], len(graph.chain), 0), np.repeat(model.skip[None], len(graph.skip), 0)])
+        pair = np.concatenate([np.repeat(model.chain[None], len(graph.chain), 0), np.repeat(model.skip[None], len(graph.skip), 0), np.repeat((model.skip if model.value is None else model.value)[None], len(graph.value), 0)])
         ahead, back = np.zeros((len(edges), unary.shape[1])), np.zeros((len(edges), unary.shape[1]))
         a, b = edges[:, 0], edges[:, 1]
 

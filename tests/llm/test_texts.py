@@ -201,6 +201,25 @@ def test_field_adds_what_repeats(spark):
     assert all(not (a < y and b > x) for a, _, b in added for x, _, y in base)
 
 
+@pytest.mark.parametrize(
+    ("text", "missed"),
+    [
+        ("ring +49 170 1234567 today. Ring 0170 1234567 later, or 0170/1234567 now", [("0170", 3), ("1234567", 3), ("0170/1234567", 3)]),
+        ("call +49 170 1234567 or (170) 1234567 now", [("170", 3), ("1234567", 3)]),
+        ("card 4111111111111111 then 4111.1111.1111.1111 ok", [("4111.1111.1111.1111", 2)]),
+        ("from 10.0.0.1 by ip-10-0-0-1 there", [("ip-10-0-0-1", 1)]),
+        ("to ann@mail.example.com or ann@mail now", [("ann@mail", 0)]),
+        ("number 1234567 and 170 people", []),
+    ],
+)
+def test_missed_repeats_of_confirmed_values_are_added(text, missed):
+    train = [f"call +1 ({k}43) 555-3824 or x{k}@mail.example.com from 10.0.0.{k} pay 4111111111111111 ok {k} and {k} more of 1{k} in 20{k}" for k in range(10, 50)]
+    train += [f"again +49 170 12345{k} or 170 12345{k} here, as 76543{k} of {k} people in 170 towns say" for k in range(10, 50)]
+    model = pii.train(train)
+    base, added = pii.find([text], model)[0]
+    assert [(text[a:b], kind) for a, kind, b in added] == missed
+
+
 def test_loopy_messages_carry_labels_between_mentions():
     import numpy as np
 
