@@ -10,11 +10,16 @@ Very common lines are folded to one copy before the shuffle, and keys that only
 go at once. In keys of few lines all pairs are verified by a banded bit-parallel edit distance; lines in
 crowded keys are keyed again by a partition four times as fine, until keys are small or pieces are
 single characters, where a key can only hold lines that differ in that one place.
+
+A threshold of k > 1 has k + 1 segments and a key for each, at the places that k edits can move it to;
+lines in crowded keys are keyed again by all but k of 2k + 2 pieces, and all pairs of those keys are
+verified.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations, product
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -68,6 +73,36 @@ def line_keys(line: Column, n: Column, pieces: int) -> Column:
     return F.concat(F.transform(numbers, lambda k: fine(k, 0)), F.transform(probes, fine_probe))
 
 
+def shifts(runs: int, threshold: int) -> list[tuple[int, ...]]:
+    """Ways in which ``threshold`` edits can move the ``runs`` parts that they leave whole, the first by 0; the last is the difference in length."""
+    found = product(range(-threshold, threshold + 1), repeat=runs - 1)
+    return [(0, *d) for d in found if d[-1] >= 0 and sum(abs(y - x) for x, y in zip((0, *d), d)) <= threshold]
+
+
+def far_keys(line: Column, n: Column, threshold: int, pieces: int) -> Column:
+    """Array of the keys of a line of ``n`` characters for more than one edit: single segments, or all but ``threshold`` of the pieces."""
+
+    def key(name: int, short: Column, parts: list[tuple[int, int, int]]) -> Column:
+        start = lambda k: F.floor(short * k / pieces).cast("int")
+        return F.xxhash64(short, F.lit(name), *[F.substring(line, start(a) + 1 + d, start(b) - start(a)) for a, b, d in parts])
+
+    if pieces == threshold + 1:
+        # edits before a segment move it, edits behind it make up the rest of the difference in length
+        return F.array(*[key(i, n - gone, [(i, i + 1, d)]) for i in range(pieces) for gone in range(threshold + 1) for d in range(-i, i + 1) if abs(gone - d) <= threshold - i])
+    ways = shifts(threshold + 1, threshold)
+    found = []
+    for name, gone in enumerate(combinations(range(pieces), threshold)):
+        ends = (-1, *gone, pieces)
+        whole = [(ends[k] + 1, ends[k + 1]) for k in range(threshold + 1)]
+        seen = set()
+        for d in ways:
+            parts = [(a, b, x) for (a, b), x in zip(whole, d) if a < b]
+            if (d[-1], *parts) not in seen:
+                seen.add((d[-1], *parts))
+                found.append(key(name, n - d[-1], parts))
+    return F.array(*found)
+
+
 def trimmed_pair(p: Column, steps: int = 16) -> Column:
     """A pair (longer, shorter) without common ends, which are looked for at even steps; ``least`` is what they hide at most."""
 
@@ -169,14 +204,20 @@ def links(all_lines: DataFrame, common: DataFrame | None = None, threshold: int
     Lines whose h1 is in ``common`` (MOST_COMMON rows at most) are folded to one copy before they are
     keyed, so that no key holds the copies of a very common line.
     """
-    if threshold != 1:
-        raise ValueError("the index is made for a threshold of 1")
+    if not 1 <= threshold <= 15:
+        raise ValueError("the distance is made for thresholds of 1 to 15")
+    if threshold > 1:
+        pieces, finest = threshold + 1, 2 * threshold + 2
+        keys = lambda p: far_keys(F.col("line"), F.char_length("line"), threshold, p)
+    else:
+        finest = FINEST
+        keys = lambda p: line_keys(F.col("line"), F.char_length("line"), p)
     long_enough = all_lines.where(F.char_length("line") >= min_chars).select("h1", "line")
     once = long_enough
     if common is not None:
         few = F.broadcast(common.select("h1"))  # MOST_COMMON rows at most
         once = long_enough.join(few, "h1", "left_anti").unionByName(long_enough.join(few, "h1", "left_semi").groupBy("h1").agg(F.first("line").alias("line")))
-    rows = lambda source, p: source.select("h1", F.explode(line_keys(F.col("line"), F.char_length("line"), p)).alias("key"))
+    rows = lambda source, p: source.select("h1", F.explode(keys(p)).alias("key"))
     same_key = Window.partitionBy("key")
     mixed = rows(once, pieces).withColumn("x", F.min("h1").over(same_key)).withColumn("y", F.max("h1").over(same_key)).where("x <> y")
     shared = cut(mixed.select("key", "h1").distinct())
@@ -184,14 +225,14 @@ def links(all_lines: DataFrame, common: DataFrame | None = None, threshold: int
     found = []
     while True:
         sized = shared.join(shared.groupBy("key").agg(F.count("*").alias("n")), "key")
-        last = pieces >= FINEST
+        last = pieces >= finest
         found.append(pairs_of(sized.where("n > 1" if last else f"n > 1 and n <= {crowd}").select("key", "h1")))
         if last:
             break
         busy = cut(sized.where(f"n > {crowd}").select("h1").distinct())
         if busy.isEmpty():
             break
-        pieces *= 4
+        pieces *= 4 if threshold == 1 else 2
         shared = cut(rows(texts.join(busy, "h1", "left_semi"), pieces).distinct())
     pairs = reduce(DataFrame.unionByName, found).distinct()
     left, right = texts.select(F.col("h1").alias("a"), F.col("line").alias("x")), texts.select(F.col("h1").alias("b"), F.col("line").alias("y"))

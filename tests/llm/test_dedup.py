@@ -118,6 +118,19 @@ def test_line_dedup_equals_brute_force_also_in_crowds(spark):
     assert got == lines_by_force(docs)
 
 
+@pytest.mark.parametrize(("k", "crowd"), [(2, 24), (2, 2), (3, 24)])
+def test_links_of_more_edits_and_shorter_lines_equal_brute_force(spark, k, crowd):
+    rnd = random.Random(9)
+    base = [words(rnd, rnd.randint(9, 40), "abcdé ") for _ in range(25)] + ["page 12 of 345", "on 2024-01-15 we said this and that"]
+    texts = sorted({edited(rnd, rnd.choice(base), rnd.randint(0, 4)) for _ in range(300)} | {"page 17 of 346", "on 2024-02-16 we said this and that"})
+    every = line_dedup.lines(table(spark, [(1, "\n".join(texts))]), "doc_id", "text")
+    name = {r.h1: r.line for r in every.collect()}
+    got = {tuple(sorted((name[r.a], name[r.b]))) for r in line_dedup.links(every, threshold=k, min_chars=10, crowd=crowd).collect()}
+    x = spark.createDataFrame([(t,) for t in texts if len(t) >= 10], "x string")
+    want = {(r.x, r.y) for r in x.crossJoin(x.withColumnRenamed("x", "y")).where("x < y").where(F.levenshtein("x", "y") <= k).collect()}
+    assert got == {tuple(sorted(p)) for p in want} and len(want) > 100
+
+
 def test_line_dedup_of_odd_rows(spark):
     got = sorted(map(tuple, line_dedup.line_dedup(table(spark, [(None, "a"), (1, "a"), (1, "a\nb")])).select("doc_id", "text", "n_lines", "n_kept").collect()), key=repr)
     # a null id comes first and owns the line; rows of one id share their sums and removals
