@@ -42,6 +42,9 @@ P_SCOPE = frozenset("button caption html object table td th template".split())
 UNLIKELY = re.compile(
     r"(?<![a-z])(?:ads?|adv|advert\w*|adsense|banners?|sponsor\w*|promo\w*|promoted|comments?|commentlist|respond|replies|disqus|discussion|sidebars?|side-?bar|side-?nav|widgets?|rail|menus?|nav|navbar|navigation|navigator|breadcrumbs?|pagination|pager|footers?|foot|masthead|site-?header|page-?header|topbar|toolbar|cookies?|consent|gdpr|notices?|notifications?|alerts?|popups?|pop-?up|modals?|overlay|lightbox|newsletters?|subscribe|subscription|signup|sign-?up|login|log-?in|paywall|share|sharing|social|sharebar|related|recommend\w*|outbrain|taboola|skip-?link|screen-?reader-?text|sr-only|visually-?hidden|hidden|print-?only|no-?print|disclaimer|legal|copyright|colophon|tags?-?list|trending|most-?read|more-?stories|feedback|survey|forms?)(?![a-z])"
 )
+#: Of these, the words that inside an article may as well name a part of it.
+SUBJECT = frozenset("banner discussion rail foot notice notices notification notifications alert alerts consent gdpr overlay subscription social related sharing trending legal disclaimer copyright colophon feedback survey form forms".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 section".split())
 LIKELY = re.compile(r"(?<![a-z])(?:article|articlebody|article-?body|body|content|entry|entry-?content|hentry|main|page|post|post-?content|post-?body|story|text|blog)(?![a-z])")
 #: Class words that tell of a page's state or subject, not of the element's part in it.
 STATE = re.compile(r" (?:has|with|without|no|is|js|category|cat|tag|type|status|format|postid|page-id)-\S*")
@@ -52,36 +55,54 @@ PARAGRAPH = frozenset("p pre blockquote td li dd".split())
 
 
 class Element:
-    __slots__ = ("children", "commas", "drop", "length", "likely", "links", "parent", "score", "tag")
+    __slots__ = ("children", "commas", "doubted", "drop", "length", "likely", "links", "parent", "score", "tag")
 
-    def __init__(self, tag: str, parent, drop: bool = False, likely: int = 0):
-        self.tag, self.parent, self.drop, self.likely, self.children = tag, parent, drop, likely, []
+    def __init__(self, tag: str, parent, drop: bool = False, likely: int = 0, doubted: bool = False):
+        self.tag, self.parent, self.drop, self.likely, self.doubted, self.children = tag, parent, drop, likely, doubted, []
         self.length = self.links = self.commas = 0
         self.score = 0.0
 
 
-def judge(tag: str, raw: str, article: bool) -> tuple[bool, int]:
-    """Whether an element is left out with all it holds, and its bonus as a container."""
+def named(classes: list[str], name: str) -> tuple[bool, bool]:
+    """Whether words of an element inside an article tell that it is no part of it, or only make that likely.
+
+    Whole class words and a whole id tell it, unless they may name a subject; parts of a class word
+    make it likely. Ids of headings and sections, and parts of other ids, are anchors and say nothing.
+    """
+    whole = [x for x in [*classes, name] if UNLIKELY.fullmatch(x)]
+    sure = any(x not in SUBJECT for x in whole)
+    return sure, not sure and bool(whole or any(UNLIKELY.search(x) for x in classes))
+
+
+def judge(tag: str, raw: str, article: bool) -> tuple[bool, int, bool]:
+    """Whether an element is left out with all it holds, its bonus as a container, and whether its text has to show that it is prose."""
     if tag in DROP or tag == "header" and not article:
-        return True, 0
+        return True, 0, False
     bonus = 40 if tag in ("article", "main") else 0
     if not raw.strip() or tag in ("html", "body"):
-        return False, bonus
+        return False, bonus, False
     found = {k.lower(): (a or b or c or "").lower() for k, a, b, c in ATTRIBUTE.findall(raw)}
     role = found.get("role", "")
     if "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", "")) or role in ROLES:
-        return True, 0
+        return True, 0, False
     if role == "main" or found.get("itemprop") == "articlebody":
         bonus = 40
-    words = STATE.sub(" ", " " + re.sub(r"[_\s]+", " ", found.get("class", "") + " " + found.get("id", "")))
+    name = "" if article and tag in HEADINGS else found.get("id", "")
+    words = STATE.sub(" ", " " + re.sub(r"[_\s]+", " ", found.get("class", "") + " " + name))
+    doubted = False
     if words.strip():
         if not article and " header " in words + " ":
-            return True, 0
+            return True, 0, False
         likely = bool(LIKELY.search(words))
-        if UNLIKELY.search(words) and tag not in ("article", "main"):
-            return True, 0
+        if article and tag not in ("article", "main"):
+            classes = STATE.sub(" ", " " + " ".join(found.get("class", "").replace("_", "-").split())).split()
+            sure, doubted = named(classes, name.replace("_", "-"))
+            if sure:
+                return True, 0, False
+        elif UNLIKELY.search(words) and tag not in ("article", "main"):
+            return True, 0, False
         bonus += 15 * likely
-    return False, bonus
+    return False, bonus, doubted
 
 
 def parse(page: str) -> Element:
@@ -138,8 +159,8 @@ def parse(page: str) -> Element:
             if tag in ("br", "hr") and not depth_dropped:
                 top.children.append(" ")
             continue
-        drop, likely = judge(tag, m[3] if m[2] else m[6], articles > 0)
-        node = Element(tag, top, drop, likely)
+        drop, likely, doubted = judge(tag, m[3] if m[2] else m[6], articles > 0)
+        node = Element(tag, top, drop, likely, doubted)
         if not drop and not depth_dropped:
             top.children.append(node)
         stack.append(node)
@@ -149,19 +170,32 @@ def parse(page: str) -> Element:
 
 
 def measure(root: Element) -> list[Element]:
-    """All elements, parents first, with the length, link length and commas of their text."""
+    """All elements, parents first, with the length, link length and commas of their text.
+
+    Doubted elements without prose are taken out: with many links, or short and no paragraph.
+    """
     order = [root]
     for node in order:
         order += [x for x in node.children if isinstance(x, Element)]
+    lost = False
     for node in reversed(order):
         for x in node.children:
             if isinstance(x, Element):
+                if x.doubted and (density(x) >= 0.25 or x.length <= 80 and x.tag not in PARAGRAPH):
+                    x.drop = lost = True
+                    continue
                 node.length, node.links, node.commas = node.length + x.length, node.links + x.links, node.commas + x.commas
             else:
                 node.length += len(x.strip())
                 node.commas += x.count(",") + x.count("，") + x.count("、")
         if node.tag == "a":
             node.links = node.length
+    if lost:
+        for node in order:
+            node.children = [x for x in node.children if not (isinstance(x, Element) and x.drop)]
+        order = [root]
+        for node in order:
+            order += [x for x in node.children if isinstance(x, Element)]
     return order
 
 

@@ -45,6 +45,28 @@ PAGES = [
 ]
 
 
+PROSE = "This part of the article is long enough, has its commas, and holds no link at all to anywhere else in the world."
+
+
+@pytest.mark.parametrize(
+    "part",
+    [
+        f'<section id="discussion"><p>{PROSE}</p></section>', '<h2 id="related-work">Related work</h2>', '<h2 id="legal-status">Legal status</h2>', '<section id="comments"><p>On comments, briefly.</p></section>',
+        f'<div id="feedback-loops"><p>{PROSE}</p></div>', '<p class="disclaimer">The author owns shares.</p>', '<div id="social-impact"><p>It, in short, is small.</p></div>', '<div id="survey-results">42 percent</div>', f'<div class="legal-notes"><p>{PROSE}</p></div>',
+    ],
+)
+def test_parts_of_an_article_stay(part):
+    assert html_extract.main_text(f"<nav>menu</nav><article>{BODY}{part}</article>") == WANT + " " + re.sub("<[^>]*>", "", part)
+
+
+@pytest.mark.parametrize(
+    "part",
+    [f'<div class="comments"><p>{PROSE}</p></div>', f'<div id="disqus"><p>{PROSE}</p></div>', '<div class="related-posts"><p><a href=x>One more, to read</a></p></div>', '<div class="share-buttons">Share it</div>', '<div class="social"><a href=x>Tell</a></div>'],
+)
+def test_other_things_in_an_article_go(part):
+    assert html_extract.main_text(f"<article>{BODY}{part}</article>") == WANT
+
+
 def test_main_text(spark):
     rows = [(k, f"u{k}", page) for k, (page, _) in enumerate(PAGES)]
     got = {r.page_id: r for r in html_extract.extract(table(spark, rows, "page_id long, url string, html string")).collect()}
