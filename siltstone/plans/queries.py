@@ -116,6 +116,15 @@ def changed_findings(spark, sf_dir):
     return changes.changed_findings(found, ranges)
 
 
+def changed_smells(spark, sf_dir):
+    """Findings of all detectors that touch the middle half of the lines of any file."""
+    table_ = corpus(spark, sf_dir)
+    made = score.prepared(table_)
+    n = F.count("*")
+    ranges = lines(table_).groupBy("path").agg((F.floor(n / 4) + 1).cast("int").alias("start"), F.ceil(n * 3 / 4).cast("int").alias("end"))
+    return changes.changed_findings(score.all_smells(table_, made), ranges)
+
+
 def token_costs(spark, sf_dir):
     table_ = corpus(spark, sf_dir)
     even = table_.select("path", F.lit(70).alias("score"))
@@ -180,6 +189,7 @@ QUERIES = {
     "churn": churn,
     "hotspots": hotspots,
     "changed_findings": changed_findings,
+    "changed_smells": changed_smells,
     "token_costs": token_costs,
     "refactoring_strategies": refactoring_strategies,
     "misspelled_words": misspelled_words,

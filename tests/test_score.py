@@ -75,3 +75,9 @@ def test_queries_equal_their_sql(spark, name):
     want = con.sql(queries.ORACLE_SQL[name])
     at = [list(want.columns).index(c) for c in columns]
     assert got == sorted(repr(tuple(r[k] for k in at)) for r in want.fetchall())
+
+
+def test_changed_smells_cover_all_documents_and_detectors(spark):
+    got = queries.QUERIES["changed_smells"](spark, SF).select("path", "smell").distinct().collect()
+    documents = {int(r.path[10:-3]) for r in got if r.path.startswith("documents/")}
+    assert {d % 2 for d in documents} == {0, 1} and len({r.smell for r in got}) > 5
