@@ -45,6 +45,11 @@ def byte_letters() -> dict[int, str]:
 BYTE_LETTERS = byte_letters()
 
 
+def plain(word: str) -> bool:
+    """Whether a word holds letters below U+0100 only; lower-casing others may leave marks that join what follows."""
+    return word.isalpha() and max(word) < "\u0100"
+
+
 class Words(dict):
     """Ids of words without spaces, as little-endian uint32 bytes; what is missing is made on the way.
 
@@ -71,9 +76,9 @@ class Words(dict):
     def __missing__(self, word: str) -> bytes:
         found = self.old.get(word)
         if found is None:
-            if word[-1] in self.marks and len(word) > 1 and word[-2].isalpha() and "<" not in word:
-                found = self[word[:-1]] + self.marks[word[-1]]  # letters and marks never share a token
-            elif word.isalpha() and max(word) < "\u0100":
+            if word[-1] in self.marks and plain(word[:-1]):
+                found = self[word[:-1]] + self.marks[word[-1]]  # such letters stay letters in lower case, and never share a token with a mark
+            elif plain(word):
                 small = word.lower()  # the vocabulary knows lower case only
                 found = self[small] if small != word else self.pieces(word) if self.direct else self.encode(word)
             else:

@@ -296,6 +296,24 @@ def test_packing_loses_no_token_and_leaves_no_gap(spark):
     assert packing.pack(table(spark, []), path).count() == 0
 
 
+@pytest.mark.parametrize("text", ["İ.", "jİ,", "İ", "ŉ.", "ǰ,", "ΐ.", "ß.", "µ,", "ª.", "º,", "ÿ."])
+def test_marks_behind_odd_letters(text):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    want = Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    assert packing.WordTokenizer(path).encode([text]) == [b"".join(x.to_bytes(4, "little") for x in want)]
+
+
+def test_ids_of_many_strings_are_those_of_the_tokenizer():
+    rnd = random.Random(11)
+    letters = [*"abzABZéÉßİıŉǰſKÅµªºÿŸΣςσΐ日本語한ا\u0301\u0307\u0345\u200d\u00a0\x85\x1c\t\r", *".,;:!?'-_<>|/\\()0159", "<|", "|>", "</s>", "'s", "İ.", "Σ,", "don't", "ÀÉÎ", "The"]
+    single = [chr(k) + mark for k in range(1, 0x3000) for mark in (".", "")]
+    texts = single + ["".join(rnd.choice(letters) for _ in range(rnd.randint(1, 8))) + rnd.choice(["", ".", ",", " ", "\n"]) + rnd.choice(letters) for _ in range(30_000)]
+    path = public_tokenizers.path("word_bpe_49k.json")
+    whole = Tokenizer.from_file(path).encode_batch_fast(texts, add_special_tokens=False)
+    made = packing.WordTokenizer(path).encode(texts)
+    assert [t for t, w, m in zip(texts, whole, made, strict=True) if m != b"".join(x.to_bytes(4, "little") for x in w.ids)] == []
+
+
 def test_fill_finds_the_fullest_multiset():
     rnd = random.Random(1)
     for _ in range(300):
