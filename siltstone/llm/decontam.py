@@ -4,8 +4,8 @@ Plan: one narrow pass over the documents. Each task takes shards of a few megaby
 the benchmark's word numbers, sorts the suffixes of every stretch of benchmark words into a suffix
 array (prefix doubling) and finds all test suffixes in it at once by binary search. A suffix that
 leaves the benchmark's vocabulary before it is as long as the shortest window can't match and isn't
-sorted. The interval of a window gives its locations; the neighbours of a suffix's place give its
-longest verbatim match.
+sorted. The interval of a window gives its locations, and each of them is followed on to its longest
+verbatim match. Words meet by hash and are then compared byte by byte.
 
 The benchmark goes to the tasks in blocks of at most ``BLOCK_BYTES`` of text; one that is larger is
 searched block by block in as many passes, and the passes are combined by row.
@@ -17,10 +17,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytesarrays import byte_values, chunks, run_hashes, runs, view
+from .bytesarrays import byte_values, chunks, mix, runs, same_bytes, tabulated, view
 from .common import text_or_empty
 
 WINDOW = 10
@@ -39,11 +40,10 @@ ARROW = pa.schema(
 )
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A hash of each word (A-Z lower-cased), its bytes, and the first word of each row (rows + 1)."""
-    small = LOWER[data]
+def words(small: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and size of each word of lower-cased bytes, and the first word of each row (rows + 1)."""
     starts, ends, first = runs(IS_WORD[small], offsets)
-    return run_hashes(small, starts, ends, byte_values()), ends - starts, first
+    return starts, ends - starts, first
 
 
 def suffix_array(stream: np.ndarray, longest: int) -> np.ndarray:
@@ -70,8 +70,11 @@ def suffix_array(stream: np.ndarray, longest: int) -> np.ndarray:
 class Benchmark:
     """The test suffixes of a block: the word stream of all items with a 0 behind each, and its windows."""
 
-    vocabulary: np.ndarray  # sorted word hashes; word number k + 1
-    sizes: np.ndarray  # the bytes of these words
+    values: np.ndarray  # what the hash of a word is made of
+    vocabulary: np.ndarray  # sorted word hashes, no two alike; word number k + 1
+    starts: np.ndarray  # where these words stand
+    sizes: np.ndarray  # their bytes
+    letters: np.ndarray  # the bytes of all items
     stream: np.ndarray
     at: np.ndarray  # where each test suffix begins
     length: np.ndarray  # its window
@@ -81,8 +84,15 @@ class Benchmark:
     @classmethod
     def build(cls, rows: list[tuple[str, str]], window: int = WINDOW) -> Benchmark:
         data, offsets = view(pa.array([t.encode() for _, t in rows], pa.binary())) if rows else (np.zeros(0, np.uint8), np.zeros(1, np.int64))
-        hashed, sizes, first = words(data, offsets)
-        vocabulary, where, numbers = np.unique(hashed, return_index=True, return_inverse=True)
+        data = LOWER[data]
+        starts, sizes, first = words(data, offsets)
+        values = byte_values()
+        while True:
+            vocabulary, where, numbers = np.unique(tabulated(data, starts, starts + sizes, values), return_index=True, return_inverse=True)
+            one = where[numbers]
+            if (sizes == sizes[one]).all() and same_bytes(data, starts, data, starts[one], sizes).all():
+                break
+            values = mix(values + np.uint64(1))  # two words hash alike: other values tell them apart
         stream, at, length, item, names, place = [], [], [], [], [], {}
         base = 0
         for k, (name, _) in enumerate(rows):
@@ -99,15 +109,21 @@ class Benchmark:
             stream += [numbers[first[k] : first[k + 1]] + 1, np.zeros(1, np.int64)]
             base += n + 1
         join = lambda x: np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64)
-        return cls(vocabulary, sizes[where], join(stream), join(at), join(length), join(item), names)
+        return cls(values, vocabulary, starts[where], sizes[where], data, join(stream), join(at), join(length), join(item), names)
 
-    def numbers(self, hashed: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Benchmark word numbers; 0 for other words."""
+    def numbers(self, small: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Benchmark word numbers, which hash and size suggest; 0 for other words."""
         if not len(self.vocabulary):
-            return np.zeros(len(hashed), np.int64)
+            return np.zeros(len(starts), np.int64)
+        hashed = tabulated(small, starts, starts + sizes, self.values)
         k = np.minimum(np.searchsorted(self.vocabulary, hashed), len(self.vocabulary) - 1)
         return np.where((self.vocabulary[k] == hashed) & (self.sizes[k] == sizes), k + 1, 0)
 
+    def confirm(self, numbers: np.ndarray, asked: np.ndarray, small: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> None:
+        """Set the numbers of those asked words to 0 whose bytes aren't the benchmark word's."""
+        k = numbers[asked] - 1
+        numbers[asked[~same_bytes(small, starts[asked], self.letters, self.starts[k], sizes[asked])]] = 0
+
 
 def compare(stream: np.ndarray, order: np.ndarray, middle: np.ndarray, test: np.ndarray, at: np.ndarray, length: np.ndarray) -> np.ndarray:
     """Sign of (suffix number ``middle`` of the shard) against (test suffix), over ``length`` words."""
@@ -154,17 +170,24 @@ def extend(stream: np.ndarray, begin: np.ndarray, test: np.ndarray, at: np.ndarr
 
 def search(data: np.ndarray, offsets: np.ndarray, bench: Benchmark) -> dict:
     """Hit words, items and longest matches of the rows of one shard."""
-    hashed, sizes, first = words(data, offsets)
+    small = LOWER[data]
+    begins, sizes, first = words(small, offsets)
     rows = len(offsets) - 1
     found = {"n_words": np.diff(first), "hits": [[] for _ in range(rows)], "items": [[] for _ in range(rows)], "longest": np.zeros(rows, np.int64), "longest_item": [None] * rows}
     if not len(bench.at):
         return found
-    numbers = bench.numbers(hashed, sizes)
-    starts, ends, _ = runs(numbers > 0, first)
-    keep = ends - starts >= bench.length.min()
-    starts, ends = starts[keep], ends[keep]
-    if not len(starts):
-        return found
+    numbers, least = bench.numbers(small, begins, sizes), bench.length.min()
+    for last in (False, True):
+        starts, ends, _ = runs(numbers > 0, first)
+        keep = ends - starts >= least
+        starts, ends = starts[keep], ends[keep]
+        if not len(starts):
+            return found
+        if not last:  # words of stretches that are long enough are held against the benchmark's, byte by byte
+            edge = np.zeros(len(numbers) + 1, np.int64)
+            np.add.at(edge, starts, 1)
+            np.add.at(edge, ends, -1)
+            bench.confirm(numbers, np.flatnonzero(np.cumsum(edge[:-1])), small, begins, sizes)
     spread = ends - starts + 1  # each stretch with a 0 behind it
     base = np.concatenate([[0], np.cumsum(spread)])
     origin = np.arange(base[-1]) - np.repeat(base[:-1] - starts, spread)
@@ -181,7 +204,7 @@ def search(data: np.ndarray, offsets: np.ndarray, bench: Benchmark) -> dict:
     places = order[np.repeat(low[hit], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)]
     which = np.repeat(hit, count)
     word, length = origin[places], bench.length[which]
-    edge = np.zeros(len(hashed) + 1, np.int64)
+    edge = np.zeros(len(begins) + 1, np.int64)
     np.add.at(edge, word, 1)
     np.add.at(edge, word + length, -1)
     begin, end, _ = runs(np.cumsum(edge[:-1]) > 0, first)
@@ -226,12 +249,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), text_or_empty(F.col(text_col)).cast("binary").alias("body"))
     passes = []
     for part in blocks(benchmark, item_id_col, item_text_col, block_bytes):
-        sent = sc.broadcast(part)  # block_bytes at most
+        sent = sc.broadcast(Benchmark.build(part, window))  # of block_bytes of text
 
         def run(batches, sent=sent):
-            bench = Benchmark.build(sent.value, window)
             for batch, data, offsets in chunks(batches, 2):
-                made = search(data, offsets, bench) | {"row": batch.column(0), "id": batch.column(1)}
+                made = search(data, offsets, sent.value) | {"row": batch.column(0), "id": batch.column(1)}
                 made["items"] = [sorted(x) for x in made["items"]]
                 yield pa.RecordBatch.from_arrays([made[n] if isinstance(made[n], pa.Array) else pa.array(made[n], t) for n, t in zip(ARROW.names, ARROW.types, strict=True)], schema=ARROW)
 
@@ -249,12 +271,22 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return found.select(F.col("id").alias(id_col), "n_words", "hits", n_hit.alias("n_hit"), "items", "longest", "longest_item", "row")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs``, all columns, without the rows that hold a window of the benchmark; other cases as in ``contamination``.
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``docs``, all columns, without the rows that hold a window of the benchmark.
 
-    A document id that stands on several rows goes as a whole if one of them is hit; rows with a
-    null id are always kept apart from that rule and go by their own text only when their id is known,
-    so give every row an id.
+    Every row goes or stays by its own text, whatever its id. Each block of the benchmark is a narrow
+    pass that filters what the pass before it left. Other cases as in ``contamination``.
     """
-    bad = contamination(docs, benchmark, id_col, text_col, **options).where(F.col("n_hit") > 0).select(id_col).distinct()
-    return docs.join(bad, id_col, "left_anti")
+    sc, at = docs.sparkSession.sparkContext, docs.columns.index(text_col)
+    for part in blocks(benchmark, item_id_col, item_text_col, block_bytes):
+        sent = sc.broadcast(Benchmark.build(part, window))  # of block_bytes of text
+
+        def run(batches, sent=sent):
+            for batch in batches:
+                body = pc.fill_null(batch.column(at).cast(pa.string()), "").cast(pa.binary())
+                for rows, data, offsets in chunks([pa.RecordBatch.from_arrays([body, pa.array(np.arange(len(body)))], ["body", "i"])], 0):
+                    clean = [not x for x in search(data, offsets, sent.value)["hits"]]
+                    yield batch.slice(rows.column(1)[0].as_py(), rows.num_rows).filter(pa.array(clean, pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bytesarrays import byte_values, chunks, mix, run_hashes, runs, view
+from .bytesarrays import byte_values, chunks, mix, runs, tabulated, view
 from .common import cut, shuffle_width, text_or_empty
 from .components import components, ordered_pairs
 
@@ -44,7 +44,7 @@ ID_BITS = np.uint64(24)
 def shingles(data: np.ndarray, offsets: np.ndarray, width: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Row and hash of every shingle: ``width`` consecutive words (runs of bytes over 32), or all words of a shorter row."""
     starts, ends, first = runs(data > 32, offsets)
-    word = run_hashes(data, starts, ends, byte_values())
+    word = tabulated(data, starts, ends, byte_values())
     n = np.diff(first)
     row = np.repeat(np.arange(len(n)), n)
     left = first[row + 1] - np.arange(len(word))  # words from here to the row's end

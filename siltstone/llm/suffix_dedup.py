@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytesarrays import STEP, STEP_INVERSE, byte_values, chunks, mix, powers, run_hashes
+from .bytesarrays import STEP, STEP_INVERSE, byte_values, chunks, mix, powers, run_hashes, same_bytes
 from .common import shuffle_width, text_or_empty
 
 WIDTH = 100
@@ -126,6 +126,15 @@ class Surroundings:
         around = run_hashes(self.data, self.position - self.left, self.position + self.right, byte_values())
         return mix(around + self.left.astype(np.uint64) * np.uint64(1009) + self.right.astype(np.uint64))
 
+    def equal(self, order: np.ndarray, head: np.ndarray, asked: np.ndarray) -> np.ndarray:
+        """Whether the asked anchors have the bytes around them that ``order[head]`` has, place by place of ``order``."""
+        out, k = np.zeros(len(order), bool), np.flatnonzero(asked)
+        a, b = order[k], order[head[k]]
+        alike = (self.left[a] == self.left[b]) & (self.right[a] == self.right[b])
+        k, a, b = k[alike], a[alike], b[alike]
+        out[k] = same_bytes(self.data, self.position[a] - self.left[a], self.data, self.position[b] - self.left[b], self.left[a] + self.right[a])
+        return out
+
 
 def merge_spans(spans: list[tuple[int, int]]) -> list[dict]:
     """Maximal runs of the union of half-open spans."""
@@ -163,6 +172,7 @@ class FirstPass:
         order = np.lexsort((s.local, rows[s.row], docs[s.row], around))
         again = np.zeros(len(order), bool)
         again[1:] = around[order][1:] == around[order][:-1]
+        again &= s.equal(order, np.maximum.accumulate(np.where(again, 0, np.arange(len(order)))), again)  # what only hashes alike goes on as it is
         copies = order[again]
         copies = copies[s.left[copies] + s.right[copies] >= self.width]
         spans = by_row(rows[s.row[copies]], np.stack([s.local[copies] - s.left[copies], s.local[copies] + s.right[copies]], 1))

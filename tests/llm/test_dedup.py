@@ -199,6 +199,26 @@ def test_blocks_join_as_all_links_would(spark):
     assert all(got.get(bytes([d]), bytes([d])) == bytes([c]) for d, c, _, _ in want)
 
 
+def test_texts_of_one_word_that_hash_alike_modulo_a_power_of_two_are_apart(spark):
+    x, y = "a", "b"
+    for _ in range(11):
+        x, y = x + y, y + x
+    column = [pa.array([t.encode()], pa.binary()) for t in (x, y)]
+    assert minhash.similarities(*column)[0] == 0 and minhash.similarities(column[0], column[0])[0] == 1
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(table(spark, [(1, x), (2, y), (3, x)])).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
+
+
+def test_surroundings_that_only_hash_alike_are_no_copies(monkeypatch):
+    rnd = random.Random(12)
+    passage = words(rnd, 300)
+    bodies = [words(rnd, 400), passage, passage, words(rnd, 400)]
+    monkeypatch.setattr(suffix_dedup.Surroundings, "hashes", lambda self: np.zeros(len(self.position), np.uint64))
+    column = pa.array([b.encode() for b in bodies], pa.binary())
+    found = list(suffix_dedup.FirstPass(2, 100, 32).slice(np.arange(4), np.arange(4), *view(column)))
+    assert all(bodies[row][s["start"] : s["end"]] in "".join(bodies[:row]) for _, _, row, spans, _ in found for s in spans)
+
+
 def test_signatures_estimate_weighted_similarity():
     a = " ".join(f"w{i}" for i in range(300))
     bodies = [a.encode(), a.replace("w50 ", "x ").replace("w150 ", "y ").encode(), b"q " * 100, b"q " * 60]

@@ -138,6 +138,29 @@ def test_contamination_of_nothing(spark):
     assert [r.doc_id for r in decontam.decontaminate(table(spark, [(1, "a b"), (2, "c"), (3, None)]), items).orderBy("doc_id").collect()] == [2, 3]
 
 
+def thue_morse(order, a="a", b="b"):
+    x, y = a, b
+    for _ in range(order):
+        x, y = x + y, y + x
+    return x, y
+
+
+def test_words_that_polynomials_modulo_a_power_of_two_confuse(spark):
+    x, y = thue_morse(11)
+    items = table(spark, [(1, x), (2, "one two " + y)], "item_id long, text string")
+    got = {r.doc_id: r["items"] for r in decontam.contamination(table(spark, [(1, x), (2, y), (3, "one two " + x), (4, "One, two: " + y.upper())]), items).collect()}
+    assert got == {1: ["1"], 2: [], 3: ["1"], 4: ["2"]}
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 300])
+def test_decontaminate_judges_every_row_by_its_own_text(spark, limit):
+    items = [(k, " ".join(f"w{j}" for j in range(k, k + 12))) for k in range(0, 100, 5)]
+    docs = [(None, items[3][1]), (None, "clean"), (7, "x " + items[19][1]), (7, "clean too"), (8, None), (9, "")]
+    made = decontam.decontaminate(table(spark, docs), table(spark, items, "item_id long, text string"), block_bytes=limit)
+    assert made.columns == ["doc_id", "text", "id", "body"]
+    assert sorted(((r.doc_id, r.text) for r in made.collect()), key=repr) == sorted([(None, "clean"), (7, "clean too"), (8, None), (9, "")], key=repr)
+
+
 def test_longest_match(spark):
     item = " ".join(f"w{k}" for k in range(30))
     r = decontam.contamination(table(spark, [(1, "x " + " ".join(f"w{k}" for k in range(5, 22)) + " y")]), table(spark, [(9, item)], "item_id long, text string")).first()
