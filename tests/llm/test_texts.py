@@ -67,6 +67,42 @@ def test_other_things_in_an_article_go(part):
     assert html_extract.main_text(f"<article>{BODY}{part}</article>") == WANT
 
 
+@pytest.mark.parametrize(
+    "part",
+    ['<div class="rail">By rail.</div>', '<section class="legal">Of the law.</section>', '<div id="discussion">In short.</div>', "<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be.</p>", '<div class="foot">A foot.</div>'],
+)
+@pytest.mark.parametrize("page", ["<article>%s</article>", "<div itemprop=articleBody>%s</div>", "<div id=page><div class='box post-content'>%s</div></div>"])
+def test_short_parts_that_may_name_a_subject_stay(page, part):
+    assert html_extract.main_text("<nav>menu</nav>" + page % (BODY + part)) == WANT + " " + re.sub("<[^>]*>", "", part)
+
+
+LONG = "kk <b>j</b> > " * 2000
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f'<article><div data-x="{LONG}">{BODY}</div></article>', WANT),
+        (f"<article><iframe srcdoc='{LONG}'></iframe><p data-json='{LONG}'>one</p><p>two</p></article>", "one two"),
+        (f'<article>{BODY}<div data-x="{LONG}" class="comments"><p>Nice, very nice.</p></div></article>', WANT),
+        ("<article><p title=it's>one</p><p title=\"a'b>c\">two</p></article>", "one two"),
+        ('<article><p title="never closed>one</p><p>two</p></article>', "one two"),
+        ("<article><p a=1/>one<p =x y='<i>'z>two</article>", "one two"),
+        ("<article><!--><p>one</p><!-- a --!><p>two</p></article>", "one two"),
+    ],
+)
+def test_attributes_of_any_length(page, want):
+    assert html_extract.main_text(page) == want
+
+
+def test_points_reach_all_ancestors():
+    deep = "<div>" * 40 + "<p>A few words, with commas, all of them here, and enough for points.</p>" + "</div>" * 40
+    assert html_extract.main_elements(html_extract.parse(f"<body>{deep}</body>"))
+    order = html_extract.measure(root := html_extract.parse(deep))
+    html_extract.main_elements(root)
+    assert all(n.score > 0 for n in order if n.tag == "div")
+
+
 def test_main_text(spark):
     rows = [(k, f"u{k}", page) for k, (page, _) in enumerate(PAGES)]
     got = {r.page_id: r for r in html_extract.extract(table(spark, rows, "page_id long, url string, html string")).collect()}
@@ -76,7 +112,7 @@ def test_main_text(spark):
     assert html_extract.extract(table(spark, [], "page_id long, url string, html string")).count() == 0
 
 
-@pytest.mark.parametrize("page", ['<a "' * 50_000, "<a " * 50_000, "<!-" * 50_000, "<p>x" * 50_000, "</p>" * 50_000])
+@pytest.mark.parametrize("page", ['<a "' * 50_000, "<a " * 50_000, "<!-" * 50_000, "<p>x" * 50_000, "</p>" * 50_000, '<a x="<b" ' * 50_000, '<a x="<b" ' * 50_000 + "<>", "<a x='<b y=\"" * 50_000, "<script>" * 50_000, "<a =" * 50_000, "<a/" * 50_000, "<div>" * 50_000, "<p><i>" * 20_000, "<p><button>" + "<div></p>" * 20_000, "<td>" * 20_000 + "<tr>" * 20_000])
 def test_hostile_pages_take_linear_time(page):
     assert isinstance(html_extract.main_text(page), str)
 
