@@ -4,7 +4,8 @@ Plan: turns are tokenized where they lie; then one shuffle by conversation, orde
 partitions, and a pass that holds the turns of one window at a time and only joins strings, so that a
 conversation with a large share of all turns costs its task little. Prefix sums of turn tokens choose the spans: a window takes the system
 turn, as many of the latest turns as the history budget allows, and then the longest run of new
-turns that fits. Turns are never cut: one that is longer than the budget has a window of its own.
+turns that fits. Repeated turns make way where a new turn would not fit beside them. Turns are never
+cut: only one that is longer than the budget itself makes a longer window, which holds nothing else.
 Repeated turns (system and history) are outside the loss mask, so every assistant text is a target
 exactly once.
 
@@ -52,51 +53,60 @@ def format_turn(role: str, text: str) -> str:
 
 
 class Windows:
-    """The windows of one conversation; ``push`` and ``finish`` yield rows of WINDOW_SCHEMA."""
+    """The windows of one conversation; ``push`` and ``finish`` yield rows of WINDOW_SCHEMA.
+
+    What a window repeats is settled when its first new turn is known: history is given up first, the
+    oldest turns before the others, then the system turn, until the new turn fits into the budget.
+    """
 
     def __init__(self, conv, budget: int, history_turns: int, history_tokens: int):
         self.conv, self.budget, self.history_turns, self.history_tokens = conv, budget, history_turns, history_tokens
         self.system: list = []
         self.history: list = []  # the latest turns that earlier windows hold
-        self.turns: list = []  # new turns of the window that is being filled
-        self.sums = [0]  # prefix sums of their tokens
+        self.old: list = []  # repeated turns of the window that is being filled
+        self.turns: list = []  # its new turns
+        self.sums = [0]  # prefix sums of the tokens of all its turns
         self.seen = self.window = 0
 
-    def repeated(self) -> list:
-        """The system turn and the longest tail of the history within its budget."""
-        tail, used = [], 0
+    def repeated(self, tokens: int) -> list:
+        """The system turn and the longest tail of the history that leave room for ``tokens``."""
+        room = self.budget - tokens
+        kept = self.system if self.window and sum(t[2] for t in self.system) <= room else []
+        room, tail = min(self.history_tokens, room - sum(t[2] for t in kept)), []
         for turn in reversed(self.history):
-            used += turn[2]
-            if used > self.history_tokens:
+            room -= turn[2]
+            if room < 0:
                 break
             tail.append(turn)
-        return (self.system if self.window else []) + tail[::-1]
+        return kept + tail[::-1]
 
     def push(self, role: str, text: str, tokens: int) -> Iterator[tuple]:
-        before = sum(t[2] for t in self.repeated())
-        if self.turns and before + self.sums[-1] + tokens > self.budget:
+        if self.turns and self.sums[-1] + tokens > self.budget:
             yield self.close()
+        if not self.turns:
+            self.old = self.repeated(tokens)
+            for turn in self.old:
+                self.sums.append(self.sums[-1] + turn[2])
         if not self.seen and not self.turns and role == "system":
             self.system = [(role, text, tokens)]
         self.turns.append((role, text, tokens))
         self.sums.append(self.sums[-1] + tokens)
 
     def close(self) -> tuple:
-        old = self.repeated()
         at, parts, loss = 0, [], []
-        for k, (role, text, _) in enumerate(old + self.turns):
+        for k, (role, text, _) in enumerate(self.old + self.turns):
             whole = format_turn(role, text)
-            if k >= len(old) and role == "assistant":
+            if k >= len(self.old) and role == "assistant":
                 start = at + len(TURN) + len(escape(role)) + len(TEXT)
                 loss.append({"start": start, "end": at + len(whole) - len(END)})
             parts.append(whole)
             at += len(whole)
-        row = (self.conv, self.window, self.seen, len(self.turns), len(old), sum(t[2] for t in old) + self.sums[-1], "".join(parts), loss)
+        row = (self.conv, self.window, self.seen, len(self.turns), len(self.old), self.sums[-1], "".join(parts), loss)
         fresh = self.turns[1:] if self.system and not self.window else self.turns
         self.history = (self.history + fresh)[-self.history_turns :] if self.history_turns else []
         self.seen += len(self.turns)
         self.window += 1
-        self.turns, self.sums = [], [0]
+        self.old, self.turns, self.sums = [], [], [0]
         return row
 
     def finish(self) -> Iterator[tuple]:

@@ -234,6 +234,22 @@ def test_chats_round_trip_in_windows(spark):
     assert not any(chat.CONTROL.search(re.sub(r"<\|(turn|text|end)\|>", "", w.text)) for w in windows)
 
 
+@pytest.mark.parametrize("sizes", [[120] * 15 + [1900] + [120] * 3, [1500] + [300, 400, 500, 100] * 4, [100] * 40, [2048, 2048, 1], [10, 3000, 5, 2049, 2000, 40], [2040, 3, 3, 3, 9, 5]])
+@pytest.mark.parametrize("system", [True, False])
+def test_no_window_passes_its_budget_but_for_one_long_turn(sizes, system):
+    made = chat.Windows(1, 2048, chat.HISTORY_TURNS, 512)
+    roles = ["system" if system else "user"] + [("user", "assistant")[k % 2] for k in range(len(sizes) - 1)]
+    rows = [r for role, n in zip(roles, sizes, strict=True) for r in made.push(role, f"t{n}", n)] + list(made.finish())
+    assert [r[1] for r in rows] == list(range(len(rows))) and sum(r[3] for r in rows) == len(sizes)
+    at = 0
+    for r in rows:
+        assert r[5] <= 2048 or r[3] == 1 and r[4] == 0 and r[5] == sizes[at] > 2048
+        held = [m[1] for m in chat.PARSE.finditer(r[6])]
+        if system and at and sizes[0] + sizes[at] <= 2048:  # the system turn goes only where it leaves no room
+            assert held[0] == "system"
+        at += r[3]
+
+
 @pytest.mark.parametrize("text", [t for t in HOSTILE if t is not None] + ["\\\\", "<\\|turn|>"])
 def test_escape_is_reversible(text):
     assert chat.unescape(chat.escape(text)) == text and not chat.CONTROL.search(chat.escape(text))
