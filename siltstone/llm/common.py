@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,15 +19,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for cut lineage.
 
-    It is the one named by the session in ``spark.checkpoint.dir``. Only where that is unset (a
-    local test session, where driver and executors are one process) a temporary folder is made.
+    It is the one named by the session in ``spark.checkpoint.dir``. Only where that is unset in a
+    local session, where driver and executors are one process, a temporary folder is made; a cluster
+    without the setting is an error.
     """
     sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir", None)
     current = sc.getCheckpointDir()
     if current:
         return current
-    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="siltstone-checkpoint-"))
+    named = sc.getConf().get("spark.checkpoint.dir", None)
+    if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        named = tempfile.mkdtemp(prefix="siltstone-checkpoint-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
+    sc.setCheckpointDir(named)
     return sc.getCheckpointDir()
 
 
@@ -48,3 +56,12 @@ def shuffle_width(spark: SparkSession) -> int:
 
 def text_or_empty(column):
     return F.coalesce(column.cast("string"), F.lit(""))
+
+
+def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs``, all columns, without the rows whose number in the table, as ``monotonically_increasing_id`` gives it, is in ``gone`` (row)."""
+    name = "row"
+    while name in docs.columns:
+        name += "_"
+    numbered = docs.withColumn(name, F.monotonically_increasing_id())
+    return numbered.join(gone.select(F.col("row").alias(name)), name, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytesarrays import byte_values, chunks, mix, runs, tabulated, view
-from .common import cut, shuffle_width, text_or_empty
+from .common import cut, shuffle_width, text_or_empty, without_rows
 from .components import components, ordered_pairs
 
 WORDS, SIMILARITY = 5, 0.8
@@ -292,8 +292,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     id is the class's; a class whose ids are all null has a null class id and keeps its rows. An
     empty table gives an empty result. Other columns are ignored.
     """
-    all_rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(F.col(text_col)).cast("binary").alias("body"))
-    all_rows = all_rows.select("id", F.unhex(F.substring(F.sha2("body", 256), 1, 32)).alias("tid"), "body")
+    member = classes_of(docs, id_col, text_col, similarity, width, rows, bands)
+    return member.select(F.col("id").alias(id_col), "class_id", "class_size", (F.col("class_id").isNull() | F.coalesce(F.col("id") == F.col("class_id"), F.lit(False))).alias("kept"))
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, width: int = WORDS, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
+    """``docs``, all columns, with exactly one row of each class: that of the smallest id, of equal or null ids the first in the table.
+
+    Cases are those of ``near_duplicates``. Rows are numbered, so the table has to be read in one order
+    every time (files and checkpoints are).
+    """
+    return without_rows(docs, classes_of(docs, id_col, text_col, similarity, width, rows, bands).where("row <> keep_row").select("row"))
+
+
+def classes_of(docs: DataFrame, id_col: str, text_col: str, similarity: float, width: int, rows: int, bands: int) -> DataFrame:
+    """One row per row of ``docs``: ``id``, ``row`` (its number in the table), and the ``class_id``, ``class_size`` and ``keep_row`` of its class."""
+    all_rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), text_or_empty(F.col(text_col)).cast("binary").alias("body"))
+    all_rows = all_rows.select("row", "id", F.unhex(F.substring(F.sha2("body", 256), 1, 32)).alias("tid"), "body")
     bands_of = cut(banded(all_rows.select("tid", "body"), width, rows, bands))
     crowded = bands_of.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     shared = cut(bands_of.join(crowded, "band"))
@@ -311,7 +326,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         late = cut(settled(open_, texts, similarity, width))
         if not late.isEmpty():
             classes = components(links.unionByName(late))
-    member = all_rows.select("id", "tid").join(classes, F.col("tid") == F.col("node"), "left").select("id", F.coalesce("label", "tid").alias("class"))
+    member = all_rows.select("row", "id", "tid").join(classes, F.col("tid") == F.col("node"), "left").select("row", "id", F.coalesce("label", "tid").alias("class"))
     # checkpointed, so that the join below stands on two plain exchanges and Spark can split a large class
-    sizes = cut(member.groupBy("class").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size")))
-    return member.join(sizes, "class").select(F.col("id").alias(id_col), "class_id", "class_size", (F.col("class_id").isNull() | F.coalesce(F.col("id") == F.col("class_id"), F.lit(False))).alias("kept"))
+    sizes = cut(member.groupBy("class").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))["row"].alias("keep_row")))
+    return member.join(sizes, "class").select("id", "row", "class_id", "class_size", "keep_row")

@@ -62,6 +62,48 @@ def test_trie_keeps_all_strings_and_spills_whole_subtrees():
     assert not spilled.keys() & rest.keys() and spilled | rest == dict(want) and len({k[:1] for k in spilled}) == 1
 
 
+def test_trie_spills_the_heaviest_subtree_of_real_texts():
+    rnd = random.Random(2)
+    texts = [("common opening " + rnd.choice("abc") + words(rnd, rnd.randint(5, 60))).encode() for _ in range(500)]
+    trie = exact_dedup.PatriciaTrie()
+    for k, t in enumerate(texts):
+        trie.insert(t, k, 1, len(t))
+    whole, most = trie.bytes, max(trie.root.children[ord("c")].children.values(), key=lambda n: n.weight).weight
+    assert whole == sum(len(n.label) + exact_dedup.NODE_BYTES for n in nodes(trie.root)) - exact_dedup.NODE_BYTES
+    spilled = list(trie.detach())
+    assert whole - trie.bytes == most and 100 < len(spilled) < 300 and all(len(k) == tag for k, _, _, tag in spilled)
+    assert sorted(k for k, *_ in [*spilled, *trie.tagged()]) == sorted(set(texts))
+    while trie.bytes and (before := trie.bytes):
+        list(trie.detach())
+        if trie.bytes == before:
+            break
+    assert len(list(trie.items())) <= 1
+
+
+def nodes(node):
+    yield node
+    for child in (node.children or {}).values():
+        yield from nodes(child)
+
+
+@pytest.mark.parametrize("keep", ["smallest", "largest"])
+def test_drop_copies_keeps_one_row_of_each_text(spark, keep):
+    got = [(r.doc_id, r.text) for r in exact_dedup.drop_copies(table(spark, ODD), keep=keep, trie_bytes=300).collect()]
+    assert len(got) == len({t or "" for _, t in ODD}) == len({t or "" for _, t in got})
+    for d, t in got:
+        ids = [x for x, y in ODD if (y or "") == (t or "") and x is not None]
+        assert d == ((min if keep == "smallest" else max)(ids) if ids else None)
+    assert exact_dedup.drop_copies(table(spark, [])).count() == 0
+
+
+def test_drop_near_copies_keeps_one_row_of_each_class(spark):
+    base = " ".join(f"w{k}" for k in range(60))
+    docs = [(None, base), (None, base), (4, base + " more"), (4, base), (4, "else, quite other words in here"), (None, "null id of its own, really alone"), (9, None), (None, "")]
+    made = minhash.drop_near_copies(table(spark, docs))
+    assert made.columns == ["doc_id", "text", "id", "body", "row"]
+    assert sorted(((r.doc_id, r.text) for r in made.collect()), key=repr) == sorted([docs[2], docs[4], docs[5], docs[6]], key=repr)
+
+
 # --- lines ---------------------------------------------------------------------------------------
 
 

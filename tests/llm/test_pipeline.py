@@ -77,3 +77,13 @@ def test_stages_take_empty_tables_and_odd_rows(spark, rows):
         if k < 4:
             assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert docs.count() >= len(rows) - 2
+
+
+def test_rows_with_shared_or_no_ids_are_judged_by_their_own_texts(spark):
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first().text
+    base = " ".join(f"w{k}" for k in range(60))
+    rows = [(None, base), (None, base), (3, base + " more"), (3, base), (3, "a text of its own"), (None, item), (5, item), (5, "clean, but of an id that has a bad row"), (None, "clean and without an id")]
+    docs = spark.createDataFrame([(d, t, "en", "a", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
+    for _, stage in corpus_pipeline.STAGES[1:4]:
+        docs = stage(spark, docs, SF).cache()
+    assert sorted(((r.doc_id, r.text) for r in docs.collect()), key=repr) == sorted([rows[2], rows[4], rows[7], rows[8]], key=repr)
