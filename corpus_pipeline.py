@@ -1,8 +1,8 @@
 """The corpus pipeline: quality, copies, near copies, benchmark passages, packing.
 
 Every stage takes what its predecessor kept, whole, and its decisions take effect; all but the last
-return the columns of ``documents``. Rows that share a doc_id go together where one of them goes;
-rows without one stay. Null texts count as empty. Empty tables pass through all stages.
+return the columns of ``documents``. Every row is judged for itself: rows that share a doc_id, or have
+none, go and stay by their own texts. Null texts count as empty. Empty tables pass through all stages.
 """
 
 from __future__ import annotations
@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from siltstone.llm.common import checkpoint_dir, table
 from siltstone.llm.decontam import decontaminate
-from siltstone.llm.exact_dedup import exact_dedup
-from siltstone.llm.minhash import near_duplicates
+from siltstone.llm.exact_dedup import drop_copies
+from siltstone.llm.minhash import drop_near_copies
 from siltstone.llm.packing import pack
 from siltstone.llm.quality import fit, keep_good
 
@@ -26,13 +26,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row of the smallest doc_id stays."""
-    return docs.join(exact_dedup(docs).where("not kept").select("doc_id"), "doc_id", "left_anti")
+    """Of equal texts one row stays, that of the smallest doc_id."""
+    return drop_copies(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the row of the smallest doc_id stays."""
-    return docs.join(near_duplicates(docs).where("not kept").select("doc_id"), "doc_id", "left_anti")
+    """Of each class of near duplicates one row stays, that of the smallest doc_id."""
+    return drop_near_copies(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,11 +52,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what a stage returns is written to the shared folder and read again."""
+    """All stages over ``documents``; what a stage returns is written to the shared folder and read again, and goes once the next one is written."""
     docs, folder = table(spark, sf_dir, "documents"), f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4()}"
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs.write.parquet(f"{folder}/{k}")
-            docs = spark.read.parquet(f"{folder}/{k}")
-    return docs
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{k - 1}")
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return STAGES[-1][1](spark, docs, sf_dir)
