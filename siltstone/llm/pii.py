@@ -6,8 +6,9 @@ chain, and each token is linked to the next one in the document that is equal to
 digits, so that all mentions of one value tend to one label. Tokens that write the value of a base span
 in another way (without its prefix, with other separators) are linked to that span. Tokens of base
 spans are evidence: they hold their label while messages pass. Loopy belief propagation runs over many
-documents at once, as their graphs are disjoint. The weights are fitted on base spans of a bounded
-sample, where missed repeats of a base span count as unknown. One narrow pass; documents without a
+documents at once, as their graphs are disjoint. All weights, of features and of pairs, are fitted
+together on base spans of a bounded sample, where missed repeats of a base span count as unknown. A
+span that the field adds must be inside the bounds of its kind. One narrow pass; documents without a
 digit or an ``@`` cost one search.
 """
 
@@ -228,11 +229,19 @@ class Graph:
         return x
 
 
+#: Where the pair weights start and what they are drawn back to: mentions of one value agree, other pairs say nothing.
+AGREE = 6.0
+#: How strongly the weights are drawn back: of the token's own features, of the words around it (many, so each says little), of the pairs.
+DECAY_OWN, DECAY_AROUND, DECAY_PAIR = 0.001, 1.0, 0.05
+
+
 def train(texts: list[str], rounds: int = 300, rate: float = 0.5) -> Model:
-    """Unary weights by softmax regression on base labels, pair weights from smoothed co-occurrence.
+    """All weights of the field at once, by gradient ascent on the pseudo-likelihood of the base labels.
 
-    Repeats that the patterns miss are unknown, not negative: they and their edges take no part.
-    Mentions of one value agree unless the sample says otherwise. Without any token in the sample all weights are 0 and the field adds nothing.
+    Each token is predicted from its features and the labels of its neighbours in the chain, over skip
+    edges and over edges of one value. Repeats that the patterns miss are unknown, not negative: they
+    and their edges take no part. Without any token in the sample all weights are 0 and the field adds
+    nothing.
     """
     graph, n = Graph(), len(KINDS) + 1
     for text in texts:
@@ -241,23 +250,41 @@ def train(texts: list[str], rounds: int = 300, rate: float = 0.5) -> Model:
         return Model(np.zeros((N_FEATURES, n)), np.zeros((n, n)), np.zeros((n, n)))
     known = np.ones(len(graph.labels), bool)
     known[list(graph.repeats)] = False
-    x, y = graph.matrix()[known], np.eye(n)[np.array(graph.labels)[known]]
-    w, decay = np.zeros((N_FEATURES, n)), np.full((N_FEATURES, 1), 0.001)
-    decay[N_OWN:] = 1.0  # words around are many, so each says little
+    label = np.array(graph.labels)
+    x, y = graph.matrix(), np.eye(n)[label] * known[:, None]
+    w, decay = np.zeros((N_FEATURES, n)), np.full((N_FEATURES, 1), DECAY_OWN)
+    decay[N_OWN:] = DECAY_AROUND
+    start = [np.zeros((n, n)), np.zeros((n, n)), np.full((n, n), -AGREE) + 2 * AGREE * np.eye(n)]
+    pair, ends = [p.copy() for p in start], []
+    for edges in (graph.chain, graph.skip, graph.value):
+        e = np.array(edges, np.int64).reshape(-1, 2)
+        e = e[known[e[:, 0]] & known[e[:, 1]]]
+        ends.append((e[:, 0], e[:, 1]))
     for _ in range(rounds):
-        p = np.exp(x @ w - (x @ w).max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        w += rate * (x.T @ (y - p) / len(x) * 4 - decay * w)
-
-    def pairs(edges, seen, most):
-        for a, b in edges:
-            if known[a] and known[b]:
-                seen[graph.labels[a], graph.labels[b]] += 1
-        joint = seen / seen.sum()
-        return np.clip(np.log(joint / np.outer(joint.sum(1), joint.sum(0))), -most, most)
-
-    even = np.full((n, n), 0.5)
-    return Model(w, pairs(graph.chain, even.copy(), 2), pairs(graph.skip, even.copy(), 2), pairs(graph.value, np.full((n, n), 0.001) + 50 * np.eye(n), 8))
+        z = x @ w
+        for p, (a, b) in zip(pair, ends, strict=True):
+            np.add.at(z, b, p[label[a]])
+            np.add.at(z, a, p[:, label[b]].T)
+        q = np.exp(z - z.max(1, keepdims=True))
+        miss = (y - q / q.sum(1, keepdims=True)) * known[:, None] * 4 / known.sum()
+        w += rate * (x.T @ miss - decay * w)
+        for p, p0, (a, b) in zip(pair, start, ends, strict=True):
+            step = np.zeros((n, n))
+            np.add.at(step, label[a], miss[b])
+            np.add.at(step.T, label[b], miss[a])
+            p += rate * (step - DECAY_PAIR * (p - p0))
+    return Model(w, *pair)
+
+
+def allowed(kind: int, word: str, linked: bool) -> bool:
+    """Whether a token may be a span of a kind: inside the bounds of the kind's pattern, for numbers unless it repeats part of a confirmed one."""
+    if kind == 0:
+        return "@" in word
+    if kind == 1:
+        groups = re.findall("[0-9]+", word)
+        return len(groups) == 4 and all(len(g) <= 3 and int(g) <= 255 for g in groups)
+    digits = digits_of(word)
+    return linked or (12 <= len(digits) <= 19 and luhn(digits) if kind == 2 else 9 <= len(digits) <= 15)
 
 
 def marginals(graph: Graph, model: Model, iterations: int = ITERATIONS) -> np.ndarray:
@@ -302,8 +329,9 @@ def find(texts: list[str], model: Model) -> list[tuple[list, list]]:
         p = marginals(graph, model)
         best = p.argmax(1)
         for i in np.flatnonzero((best > 0) & (p.max(1) >= SURE)).tolist():
-            if not graph.labels[i]:
-                found[graph.rows[i]][1].append((graph.spans[i][0], int(best[i]) - 1, graph.spans[i][1]))
+            (start, end), kind = graph.spans[i], int(best[i]) - 1
+            if not graph.labels[i] and allowed(kind, texts[graph.rows[i]][start:end], i in graph.repeats):
+                found[graph.rows[i]][1].append((start, kind, end))
     return found
 
 

@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -317,6 +318,53 @@ def test_missed_repeats_of_confirmed_values_are_added(text, missed):
     assert [(text[a:b], kind) for a, kind, b in added] == missed
 
 
+def filler(rnd, n):
+    return " ".join(rnd.choice(["in", "room", "of", "the", "page", "see"]) + rnd.choice(["", f" {rnd.randint(1, 400)}", f" v{rnd.randint(1, 9)}.{rnd.randint(0, 9)}.{rnd.randint(0, 20)}.1", f" {rnd.randint(1990, 2030)}-0{rnd.randint(1, 9)}-1{rnd.randint(0, 9)}"]) for _ in range(n))
+
+
+def planted(rnd):
+    """A text with confirmed values, and the repeats that the patterns miss."""
+    tail, parts = f"{rnd.randint(2_000_000, 9_999_999)}", [str(rnd.randint(1, 255)) for _ in range(4)]
+    name, area = rnd.choice(["ann", "bob", "cy"]) + str(rnd.randint(1, 999)), str(rnd.randint(130, 199))
+    card = rnd.choice(["4111111111111111", "5500005555555559", "340000000000009"])
+    kinds = [
+        (f"+49 {area} {tail}", 3, [f"0{area}/{tail}", f"{area}-{tail}"]), (".".join(parts), 1, ["-".join(parts), "ip_" + "_".join(parts)]),
+        (f"{name}@mail.example.com", 0, [f"{name}@mail", f"{name}@localhost"]), (card, 2, [".".join([card[:4], card[4:8], card[8:]]), card[:6] + "/" + card[6:]]),
+    ]
+    value, kind, other = rnd.choice(kinds)
+    missed = rnd.choice(other)
+    return f"{filler(rnd, 8)} to {value} and {filler(rnd, 8)} by {missed} so {filler(rnd, 6)}", missed, kind
+
+
+def test_planted_repeats_are_found_with_high_precision_and_recall():
+    rnd = random.Random(21)
+    model = pii.train([planted(rnd)[0] for _ in range(400)])
+    cases = [planted(rnd) for _ in range(400)]
+    right = wrong = 0
+    for (text, missed, kind), (base, added) in zip(cases, pii.find([c[0] for c in cases], model), strict=True):
+        at = text.rindex(missed)
+        true = (at, kind, at + len(missed))
+        assert len(base) >= 1
+        right += true in added or any(x[0] <= at and x[2] >= at + len(missed) for x in base)
+        wrong += sum(x != true for x in added)
+    assert right / len(cases) >= 0.95 and wrong <= 0.05 * len(cases)
+
+
+def test_added_spans_keep_the_bounds_of_their_kind():
+    rnd = random.Random(22)
+    model = pii.train([planted(rnd)[0] for _ in range(200)] + [f"from 10.0.{k}.1 to 10.{k}.0.2 and 7.7.7.{k}" for k in range(100)])
+    for text in ("from 10.0.0.1 to 300.1.1.1 and 300.1.1.1", "10.0.0.1 1.2.3.4.5 10.0.0.1", "host 999.999.999.999, 10.1.1.1"):
+        for start, kind, end in pii.find([text], model)[0][1]:
+            assert kind != 1 or all(int(x) <= 255 for x in re.findall("[0-9]+", text[start:end]))
+    assert not pii.allowed(1, "300.1.1.1", True) and pii.allowed(1, "ip-10-0-0-1", True) and not pii.allowed(2, "4111111111111112", False) and pii.allowed(3, "0170", True)
+
+
+def test_pair_weights_are_learned_with_the_field():
+    agree = pii.train([f"a{k}@b.example.org and a{k}@b.example.org or 10.0.0.{k} 10.0.0.{k} of 12 or 12" for k in range(200)])
+    apart = pii.train([f"x 1234567{k}x by +1 202 1234567{k} or 1234567{k}x" for k in range(10, 99)])
+    assert agree.skip[0, 0] > 0 and (np.diag(agree.value)[1:3] >= pii.AGREE - 0.5).all() and np.isfinite(apart.chain).all()
+
+
 def test_loopy_messages_carry_labels_between_mentions():
     import numpy as np
 
