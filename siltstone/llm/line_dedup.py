@@ -1,15 +1,18 @@
 """Line deduplication by a segment-partition edit join, in DataFrame and SQL functions only.
 
 Within one edit of each other, two lines agree in one of the two halves of the shorter (the pigeonhole
-rule for threshold + 1 segments); applied again to the half that differs, they agree in all but one
-piece of a finer, even partition. An index key is therefore the shorter line's length, the piece left
-out, and hashes of what stands before and behind it. A line is indexed under its own length and
-probes the lengths that one deletion leads to, with what stands behind the piece aligned at the end.
+rule for threshold + 1 segments). An index key is the shorter line's length, the number of the half left
+out, and hashes of what stands before and behind it. A line is indexed under its own length and probes
+the length that one deletion leads to, with what stands behind the half aligned at the end.
 
 Very common lines are folded to one copy before the shuffle, and keys that only copies of one line have
-go at once. In keys of few lines all pairs are verified by a banded bit-parallel edit distance; lines in
-crowded keys are keyed again by a partition four times as fine, until keys are small or pieces are
-single characters, where a key can only hold lines that differ in that one place.
+go at once. In keys of few lines all pairs are verified by a banded bit-parallel edit distance. In
+crowded keys the piece left out is cut in four, and its lines are keyed again by these pieces only, until
+keys are small or the piece is one character. There, lines of one length differ in that character alone:
+all of them are linked with each other, which a count and a minimum say without their pairs. And a
+longer line finds its partners by the hash of what the deletion of that character leaves.
+
+Each pair of lines of one length meets in one key of each level, so links are counted once.
 
 A threshold of k > 1 has k + 1 segments and a key for each, at the places that k edits can move it to;
 lines in crowded keys are keyed again by all but k of 2k + 2 pieces, and all pairs of those keys are
@@ -26,51 +29,30 @@ from pyspark.sql import functions as F
 
 from .common import cut, text_or_empty
 
-#: Lines with fewer characters are compared exactly only.
-MIN_CHARS = 20
-#: Pieces of the first partition: the threshold-plus-one segments, halved once.
-PIECES = 4
 #: Distinct lines of a key beyond which the lines are keyed again by finer pieces.
 CROWD = 24
 #: Bound on the number of lines that are folded by a broadcast, the most common ones; no other can be more than one line in so many.
 MOST_COMMON = 10_000
-#: The finest partition; lines of at most as many characters have single characters as pieces.
-FINEST = 4096
 WORD = (1 << 32) - 1
 
 
-def piece_bounds(n: Column, pieces: int, k) -> tuple[Column, Column]:
-    return F.floor(n * k / pieces).cast("int"), F.floor(n * (k + 1) / pieces).cast("int")
-
-
-def line_keys(line: Column, n: Column, pieces: int) -> Column:
-    """Array of the keys of a line of ``n`` characters: indexed as itself, probing as one character longer."""
+def second_hash(line: Column) -> Column:
+    return F.xxhash64(F.lit(1), line)
 
-    def keys(k, gone: int):
-        short = n - gone
-        a, b = piece_bounds(short, pieces, k)
-        return F.xxhash64(short, k, F.substring(line, F.lit(1), a), F.substring(line, b + 1 + gone, n))
 
-    if pieces <= 8:
-        return F.array(*[keys(F.lit(k), gone) for gone in (0, 1) for k in range(pieces)])
-    numbers = F.sequence(F.lit(0), F.least(F.lit(pieces), n + 1) - 1)
-    scale = F.least(F.lit(pieces), n + 1)  # beyond single characters finer pieces say nothing
+def piece_keys(line: Column, n: Column, pieces: int, k: Column, gone: Column) -> Column:
+    """What a line of ``n`` characters is keyed by where piece ``k`` is left out, as itself (``gone`` 0) or probing as one character longer (1): key, key2, start and size of the piece, whether it is the last."""
+    short = (n - gone).cast("long")
+    a, b = (F.floor(short * (k + j) / pieces).cast("int") for j in (0, 1))
+    rest = [short, a, b, F.substring(line, F.lit(1), a), F.substring(line, b + 1 + gone, n)]
+    return F.struct(F.xxhash64(*rest).alias("key"), F.xxhash64(F.lit(2), *rest).alias("key2"), k.cast("int").alias("k"), gone.cast("int").alias("gone"), a.alias("start"), (b - a).alias("size"), (b == short).alias("last"))
 
-    def fine(k, gone: int):
-        short = n - gone
-        a, b = F.floor(short * k / scale).cast("int"), F.floor(short * (k + 1) / scale).cast("int")
-        return F.xxhash64(short, a, b, F.substring(line, F.lit(1), a), F.substring(line, b + 1 + gone, n))
 
-    # the partition of a probe must be the one that a line of that length uses itself
-    probe_scale = F.least(F.lit(pieces), n)
-    probes = F.sequence(F.lit(0), probe_scale - 1)
-
-    def fine_probe(k):
-        short = n - 1
-        a, b = F.floor(short * k / probe_scale).cast("int"), F.floor(short * (k + 1) / probe_scale).cast("int")
-        return F.xxhash64(short, a, b, F.substring(line, F.lit(1), a), F.substring(line, b + 2, n))
-
-    return F.concat(F.transform(numbers, lambda k: fine(k, 0)), F.transform(probes, fine_probe))
+def first_keys(line: Column, n: Column, min_chars: int) -> Column:
+    """(key, k, gone) of a line by the halves of threshold-plus-one segments; no line is shorter than ``min_chars``, so none probes for such."""
+    made = F.array(*[piece_keys(line, n, 2, F.lit(k), F.lit(gone)) for gone in (0, 1) for k in (0, 1)])
+    useful = F.filter(made, lambda q: (q["size"] > 0) & (n - q["gone"] >= max(min_chars, 1)))
+    return F.transform(useful, lambda q: F.struct(q["key"].alias("key"), (2 * q["k"] + q["gone"]).cast("int").alias("part")))
 
 
 def shifts(runs: int, threshold: int) -> list[tuple[int, ...]]:
@@ -186,57 +168,102 @@ def _banded(longer: Column, shorter: Column, k: int) -> Column:
 
 
 def lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, line_no, line, h1, h2): the lines of all texts that hold a character; line numbers from 0."""
+    """(doc, line_no, line, h1, h2): the lines of all texts that hold a character; line numbers from 0. Two lines are equal if both hashes are."""
     made = docs.select(F.col(id_col).cast("long").alias("doc"), F.posexplode(F.split(text_or_empty(F.col(text_col)), "\n")).alias("line_no", "line"))
-    return made.where(F.col("line") != "").select("doc", "line_no", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
+    return made.where(F.col("line") != "").select("doc", "line_no", "line", F.xxhash64("line").alias("h1"), second_hash(F.col("line")).alias("h2"))
 
 
 def pairs_of(groups: DataFrame) -> DataFrame:
-    """Distinct (a, b), a < b, of the lines that share a key in ``groups`` (key, h1)."""
-    held = groups.groupBy("key").agg(F.sort_array(F.collect_set("h1")).alias("all"))
-    first = held.select("all", F.posexplode("all").alias("i", "a"))
-    return first.select("a", F.explode(F.slice("all", F.col("i") + 2, F.greatest(F.size("all") - F.col("i") - 1, F.lit(0)))).alias("b")).distinct()
+    """Distinct (a, b), a < b, of the lines that share a key in ``groups`` (key, h1, gone), not both of them probing."""
+    held = groups.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("h1", "gone"))).alias("all"))
+    first = held.select("all", F.posexplode("all").alias("i", "x"))
+    both = first.select("x", F.explode(F.slice("all", F.col("i") + 2, F.greatest(F.size("all") - F.col("i") - 1, F.lit(0)))).alias("y"))
+    return both.where("x.gone + y.gone < 2 and x.h1 <> y.h1").select(F.col("x.h1").alias("a"), F.col("y.h1").alias("b")).distinct()
 
 
-def links(all_lines: DataFrame, common: DataFrame | None = None, threshold: int = 1, min_chars: int = MIN_CHARS, pieces: int = PIECES, crowd: int = CROWD) -> DataFrame:
-    """(a, b) of distinct lines, by ``h1``, within ``threshold`` edits of each other; each pair once, a < b.
+def folded(all_lines: DataFrame, common: DataFrame | None, min_chars: int) -> tuple[DataFrame, DataFrame]:
+    """(h1, line) of the lines of at least ``min_chars`` characters; all of them, and with one copy of each line whose h1 is in ``common`` (MOST_COMMON rows at most)."""
+    every = all_lines.where(F.char_length("line") >= min_chars).select("h1", "line")
+    if common is None:
+        return every, every
+    few = F.broadcast(common.select("h1"))
+    return every, every.join(few, "h1", "left_anti").unionByName(every.join(few, "h1", "left_semi").groupBy("h1").agg(F.first("line").alias("line")))
 
-    Lines whose h1 is in ``common`` (MOST_COMMON rows at most) are folded to one copy before they are
-    keyed, so that no key holds the copies of a very common line.
-    """
-    if not 1 <= threshold <= 15:
-        raise ValueError("the distance is made for thresholds of 1 to 15")
-    if threshold > 1:
-        pieces, finest = threshold + 1, 2 * threshold + 2
-        keys = lambda p: far_keys(F.col("line"), F.char_length("line"), threshold, p)
-    else:
-        finest = FINEST
-        keys = lambda p: line_keys(F.col("line"), F.char_length("line"), p)
-    long_enough = all_lines.where(F.char_length("line") >= min_chars).select("h1", "line")
-    once = long_enough
-    if common is not None:
-        few = F.broadcast(common.select("h1"))  # MOST_COMMON rows at most
-        once = long_enough.join(few, "h1", "left_anti").unionByName(long_enough.join(few, "h1", "left_semi").groupBy("h1").agg(F.first("line").alias("line")))
-    rows = lambda source, p: source.select("h1", F.explode(keys(p)).alias("key"))
+
+def several(rows: DataFrame) -> DataFrame:
+    """The distinct ``rows`` (key, h1, ...) of keys that hold different lines."""
     same_key = Window.partitionBy("key")
-    mixed = rows(once, pieces).withColumn("x", F.min("h1").over(same_key)).withColumn("y", F.max("h1").over(same_key)).where("x <> y")
-    shared = cut(mixed.select("key", "h1").distinct())
-    texts = cut(long_enough.join(shared.select("h1").distinct(), "h1", "left_semi").groupBy("h1").agg(F.first("line").alias("line")))
-    found = []
+    columns = rows.columns
+    return rows.withColumn("x", F.min("h1").over(same_key)).withColumn("y", F.max("h1").over(same_key)).where("x <> y").select(*columns).distinct()
+
+
+def texts_of(every: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(h1, h2, line) once for each line whose h1 is in ``wanted``."""
+    found = every.join(wanted.select("h1").distinct(), "h1", "left_semi")
+    return found.groupBy("h1", second_hash(F.col("line")).alias("h2")).agg(F.first("line").alias("line"))
+
+
+def verified(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
+    """(a, a2, b, b2), the hashes of both lines, of the pairs (a, b) within ``threshold`` edits."""
+    left = texts.select(F.col("h1").alias("a"), F.col("h2").alias("a2"), F.col("line").alias("x"))
+    right = texts.select(F.col("h1").alias("b"), F.col("h2").alias("b2"), F.col("line").alias("y"))
+    return pairs.join(left, "a").join(right, "b").where(within(F.col("x"), F.col("y"), threshold)).select("a", "a2", "b", "b2")
+
+
+def neighbours(all_lines: DataFrame, common: DataFrame | None = None, min_chars: int = 1, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
+    """The links of lines within one edit: pairs (a, a2, b, b2), each once, and cliques (key, key2, h1, h2) of lines that are all linked with each other, no two of them in another clique or a pair."""
+    every, once = folded(all_lines, common, min_chars)
+    n = F.char_length("line")
+    rows = once.select("h1", F.explode(first_keys(F.col("line"), n, min_chars)).alias("q")).select("q.key", "h1", "q.part")
+    shared = cut(several(rows))
+    texts = cut(texts_of(every, shared))
+    level = shared.select("key", "h1", F.floor(F.col("part") / 2).cast("int").alias("k"), (F.col("part") % 2).alias("gone"))
+    pieces, found, final = 2, [], []
     while True:
-        sized = shared.join(shared.groupBy("key").agg(F.count("*").alias("n")), "key")
-        last = pieces >= finest
-        found.append(pairs_of(sized.where("n > 1" if last else f"n > 1 and n <= {crowd}").select("key", "h1")))
-        if last:
-            break
-        busy = cut(sized.where(f"n > {crowd}").select("h1").distinct())
+        sized = level.join(level.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key")
+        found.append(pairs_of(sized.where(f"n <= {crowd}").select("key", "h1", "gone")))
+        busy = sized.where(f"n > {crowd}")
+        if pieces > 2:
+            final.append(busy.where("size = 1"))
+            busy = busy.where("size > 1")
+        busy = cut(busy.select("h1", *(["h2"] if pieces > 2 else []), "k", "gone").distinct())
         if busy.isEmpty():
             break
-        pieces *= 4 if threshold == 1 else 2
-        shared = cut(rows(texts.join(busy, "h1", "left_semi"), pieces).distinct())
-    pairs = reduce(DataFrame.unionByName, found).distinct()
-    left, right = texts.select(F.col("h1").alias("a"), F.col("line").alias("x")), texts.select(F.col("h1").alias("b"), F.col("line").alias("y"))
-    return pairs.join(left, "a").join(right, "b").where(within(F.col("x"), F.col("y"), threshold)).select("a", "b")
+        pieces *= 4
+        inner = lambda q: piece_keys(F.col("line"), n, pieces, q, F.col("gone"))  # noqa: B023, E731
+        finer = busy.join(texts, ["h1", "h2"] if pieces > 8 else ["h1"]).select("h1", "h2", F.explode(F.transform(F.sequence(4 * F.col("k"), 4 * F.col("k") + 3), inner)).alias("q"))
+        level = cut(finer.select("h1", "h2", "q.*").where("size > 0").distinct())
+    pairs = verified(reduce(DataFrame.unionByName, found).distinct(), texts, 1)
+    ends = reduce(DataFrame.unionByName, final) if final else texts.select("h1", "h2", *[F.lit(0).alias(c) for c in ("key", "key2", "gone", "start")], F.lit(False).alias("last")).where("false")
+    # what the deletion of the character, or of the one behind the last, leaves of a longer line
+    at = F.explode(F.when(F.col("last"), F.array("start", F.col("start") + 1)).otherwise(F.array("start")))
+    shorter = ends.where("gone = 1").join(texts, ["h1", "h2"]).select("h1", "h2", "line", at.alias("at"))
+    left = shorter.select("h1", "h2", F.concat(F.substring("line", F.lit(1), F.col("at")), F.substring(F.col("line"), F.col("at") + 2, n)).alias("rest")).where("rest <> ''")
+    met = left.select(F.col("h1").alias("a"), F.col("h2").alias("a2"), F.xxhash64("rest").alias("b"), second_hash(F.col("rest")).alias("b2")).join(texts.select(F.col("h1").alias("b"), F.col("h2").alias("b2")), ["b", "b2"])
+    turned = F.when(F.col("a") < F.col("b"), F.array("a", "a2", "b", "b2")).otherwise(F.array("b", "b2", "a", "a2"))
+    ordered = lambda df: df.select(turned.alias("t")).select(*[F.col("t")[i].alias(c) for i, c in enumerate(("a", "a2", "b", "b2"))])
+    return ordered(pairs).unionByName(ordered(met)).distinct(), ends.where("gone = 0").select("key", "key2", "h1", "h2").distinct()
+
+
+def links(all_lines: DataFrame, common: DataFrame | None = None, threshold: int = 2, min_chars: int = 1, crowd: int = CROWD) -> DataFrame:
+    """(a, a2, b, b2) of distinct lines, by their hashes, within ``threshold`` edits of each other, 2 to 15; each pair once, a < b. For one edit see ``neighbours``.
+
+    Lines whose h1 is in ``common`` (MOST_COMMON rows at most) are folded to one copy before they are
+    keyed, so that no key holds the copies of a very common line.
+    """
+    if not 2 <= threshold <= 15:
+        raise ValueError("the distance is made for thresholds of 2 to 15")
+    every, once = folded(all_lines, common, min_chars)
+    keyed = lambda source, pieces: source.select("h1", F.explode(far_keys(F.col("line"), F.char_length("line"), threshold, pieces)).alias("key"), F.lit(0).alias("gone"))
+    pieces = threshold + 1
+    shared = cut(several(keyed(once, pieces)))
+    texts = cut(texts_of(every, shared))
+    sized = shared.join(shared.groupBy("key").agg(F.count("*").alias("n")), "key")
+    found = pairs_of(sized.where(f"n > 1 and n <= {crowd}"))
+    busy = cut(sized.where(f"n > {crowd}").select("h1").distinct())
+    if not busy.isEmpty():
+        found = found.unionByName(pairs_of(cut(several(keyed(texts.join(busy, "h1", "left_semi").select("h1", "line"), 2 * threshold + 2))))).distinct()
+    return verified(found, texts, threshold)
 
 
 def most_common(all_lines: DataFrame) -> DataFrame:
@@ -245,7 +272,7 @@ def most_common(all_lines: DataFrame) -> DataFrame:
     return counted.orderBy(F.desc("copies"), "h1").limit(MOST_COMMON).select("h1")
 
 
-def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 1, min_chars: int = MIN_CHARS) -> DataFrame:
+def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 1, min_chars: int = 1) -> DataFrame:
     """One row per line with a character: ``doc``, ``line_no``, ``class_doc``, ``class_line``, ``n_links``, ``kept``, ``copy``.
 
     A line's class is the earliest place (document id, line number) of a line that is equal to it or
@@ -261,17 +288,28 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     place = F.struct(F.coalesce("doc", F.lit(-(1 << 63))).alias("doc"), "line_no")
     spots = every.select(place["doc"].alias("doc"), "line_no", "h1", "h2")
     firsts = spots.groupBy("h1", "h2").agg(F.min(F.struct("doc", "line_no")).alias("first"))
-    near = cut(links(every, cut(most_common(every)), threshold, min_chars))
-    both = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    linked = both.join(firsts.select(F.col("h1").alias("b"), F.col("first").alias("other")), "b").groupBy("a").agg(F.min("other").alias("best"), F.count("*").alias("n_links"))
-    known = firsts.join(linked, F.col("h1") == F.col("a"), "left").select("h1", "h2", "first", "best", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    common = cut(most_common(every))
+    cliques = None
+    if threshold == 1:
+        pairs, cliques = neighbours(every, common, min_chars)
+    else:
+        pairs = links(every, common, threshold, min_chars)
+    pairs = cut(pairs)
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("b2").alias("a2"), F.col("a").alias("b"), F.col("a2").alias("b2")))
+    other = firsts.select(F.col("h1").alias("b"), F.col("h2").alias("b2"), F.col("first").alias("best"))
+    told = both.join(other, ["b", "b2"]).select(F.col("a").alias("h1"), F.col("a2").alias("h2"), "best", F.lit(1).cast("long").alias("n_links"))
+    if cliques is not None and not (cliques := cut(cliques)).isEmpty():
+        groups = cliques.join(firsts, ["h1", "h2"]).groupBy("key", "key2").agg(F.min("first").alias("best"), F.count("*").alias("n"))
+        told = told.unionByName(cliques.join(groups, ["key", "key2"]).select("h1", "h2", "best", (F.col("n") - 1).alias("n_links")))
+    linked = told.groupBy("h1", "h2").agg(F.min("best").alias("best"), F.sum("n_links").alias("n_links"))
+    known = firsts.join(linked, ["h1", "h2"], "left").select("h1", "h2", "first", "best", F.coalesce("n_links", F.lit(0)).alias("n_links"))
     here = F.struct("doc", "line_no")
     joined = spots.join(known, ["h1", "h2"])
     earliest = F.least("first", "best")
     return joined.select("doc", "line_no", earliest["doc"].alias("class_doc"), earliest["line_no"].alias("class_line"), "n_links", (earliest == here).alias("kept"), (F.col("first") < here).alias("copy"))
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 1, min_chars: int = MIN_CHARS) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 1, min_chars: int = 1) -> DataFrame:
     """One row per row of ``docs``: its id, ``text`` without the lines that aren't kept, and what happened to them.
 
     ``n_lines`` counts the lines with a character, ``n_kept`` those that stay, ``n_links`` the links of

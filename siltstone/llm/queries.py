@@ -100,7 +100,7 @@ ORACLE_SQL = {
         WITH s AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
              l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS line_no FROM s),
              f AS (SELECT line, min({'d': doc_id, 'n': line_no}) AS first FROM l WHERE line <> '' GROUP BY line),
-             m AS (SELECT line AS x, length(line) AS n, first FROM f WHERE length(line) >= 20),
+             m AS (SELECT line AS x, length(line) AS n, first FROM f),
              q AS MATERIALIZED (SELECT a.x, b.x AS y, a.first AS fx, b.first AS fy, a.n, b.n AS n2 FROM m a JOIN m b ON a.n = b.n
                                 WHERE a.x < b.x AND levenshtein(a.x, b.x) <= 4 -- bytes; the exact test on characters follows
                                 UNION ALL SELECT a.x, b.x, a.first, b.first, a.n, b.n FROM m a JOIN m b ON a.n = b.n + 1

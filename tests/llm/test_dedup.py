@@ -156,10 +156,37 @@ def test_line_dedup_equals_brute_force_also_in_crowds(spark):
     crowd = base[0] + base[1] + base[2]
     docs += [(300 + k, edited(rnd, crowd, 2) + "\n\nend of the common tail line") for k in range(60)]
     docs += [(900, None), (901, "\n"), (902, ""), (903, "short"), (904, "short")]
-    got = {r.doc_id: [r.n_lines, r.n_kept, r.n_links, r.class_id, r.text] for r in line_dedup.line_dedup(table(spark, docs)).collect()}
+    got = {r.doc_id: [r.n_lines, r.n_kept, r.n_links, r.class_id, r.text] for r in line_dedup.line_dedup(table(spark, docs), min_chars=20).collect()}
     assert got == lines_by_force(docs)
 
 
+@pytest.mark.parametrize("crowd", [1, 2, 24])
+def test_line_dedup_of_lines_of_every_length_equals_brute_force(spark, crowd, monkeypatch):
+    monkeypatch.setattr(line_dedup.neighbours, "__defaults__", (None, 1, crowd))
+    rnd = random.Random(crowd)
+    letters = "abcdefghijklmnopqrstuvwxyzé日"
+    base = [words(rnd, rnd.randint(1, 30), "abé ") for _ in range(25)]
+    docs = [(d, "\n".join(edited(rnd, rnd.choice(base), rnd.choice([0, 1, 1, 2])) for _ in range(rnd.randint(0, 8)))) for d in range(80)]
+    docs += [(200 + k, f"{c}\n{c}b\nx{c}\nshared beginning {c} and end\nshared beginning{c} and end\n{c}{c}{c}\naa{c}") for k, c in enumerate(letters)]
+    docs += [(300 + k, "the end differs in its last" + c + "\n" + c + "and one that begins so") for k, c in enumerate(letters)]
+    docs += [(400, "the end differs in its last\nand one that begins so\nshared beginning and end"), (900, None), (901, "\n"), (902, ""), (903, "ab"), (904, "ab\nb")]
+    got = {r.doc_id: [r.n_lines, r.n_kept, r.n_links, r.class_id, r.text] for r in line_dedup.line_dedup(table(spark, docs)).collect()}
+    assert got == lines_by_force(docs, 1)
+
+
+def test_crowds_of_long_lines_are_settled_without_their_pairs(spark):
+    rnd = random.Random(3)
+    long = words(rnd, 6000, "abcdé ")
+    texts = [long[:4321] + c + long[4322:] for c in "abcdefghijklmnopqrstuvwxyz0123456789"] + [long[:17] + c + long[17:] for c in "ghijkl"] + [long[:4321] + long[4322:], long]
+    docs = list(enumerate(texts))
+    every = line_dedup.lines(table(spark, docs), "doc_id", "text")
+    pairs, cliques = line_dedup.neighbours(every)
+    assert cliques.select("key").distinct().count() >= 1 and cliques.count() >= 36 and pairs.count() < 200
+    got = {r.doc_id: (r.n_links, r.class_id) for r in line_dedup.line_dedup(table(spark, docs)).collect()}
+    want = {d: v for d, v in lines_by_force(docs, 1).items()}
+    assert got == {d: (v[2], v[3]) for d, v in want.items()}
+
+
 @pytest.mark.parametrize(("k", "crowd"), [(2, 24), (2, 2), (3, 24)])
 def test_links_of_more_edits_and_shorter_lines_equal_brute_force(spark, k, crowd):
     rnd = random.Random(9)
@@ -174,9 +201,12 @@ def test_links_of_more_edits_and_shorter_lines_equal_brute_force(spark, k, crowd
 
 
 def test_line_dedup_of_odd_rows(spark):
-    got = sorted(map(tuple, line_dedup.line_dedup(table(spark, [(None, "a"), (1, "a"), (1, "a\nb")])).select("doc_id", "text", "n_lines", "n_kept").collect()), key=repr)
+    odd = table(spark, [(None, "a"), (1, "a"), (1, "a\nb")])
+    got = sorted(map(tuple, line_dedup.line_dedup(odd, min_chars=20).select("doc_id", "text", "n_lines", "n_kept").collect()), key=repr)
     # a null id comes first and owns the line; rows of one id share their sums and removals
     assert got == [(1, "", 3, 1), (1, "b", 3, 1), (None, "a", 1, 1)]
+    # without a least length "b" is one edit from "a"
+    assert {(r.text, r.n_kept, r.n_links) for r in line_dedup.line_dedup(odd).collect()} == {("", 0, 3), ("a", 1, 1)}
     assert line_dedup.line_dedup(table(spark, [])).count() == 0
 
 
