@@ -49,10 +49,17 @@ def piece_keys(line: Column, n: Column, pieces: int, k: Column, gone: Column) ->
 
 
 def first_keys(line: Column, n: Column, min_chars: int) -> Column:
-    """(key, k, gone) of a line by the halves of threshold-plus-one segments; no line is shorter than ``min_chars``, so none probes for such."""
-    made = F.array(*[piece_keys(line, n, 2, F.lit(k), F.lit(gone)) for gone in (0, 1) for k in (0, 1)])
-    useful = F.filter(made, lambda q: (q["size"] > 0) & (n - q["gone"] >= max(min_chars, 1)))
-    return F.transform(useful, lambda q: F.struct(q["key"].alias("key"), (2 * q["k"] + q["gone"]).cast("int").alias("part")))
+    """(key, part) of a line by the halves of threshold-plus-one segments; ``part`` is twice the half left out and one more for a probe.
+
+    Keys are null for empty halves, and for probes of lengths under ``min_chars``, which no line has.
+    """
+    made = []
+    for k, gone in product((0, 1), (0, 1)):
+        short = n - gone
+        a, b = F.floor(short * k / 2).cast("int"), F.floor(short * (k + 1) / 2).cast("int")
+        key = F.xxhash64(short, F.lit(k), F.substring(line, F.lit(1), a), F.substring(line, b + 1 + gone, n))
+        made.append(F.struct(F.when(short >= max(min_chars, 2 - k), key).alias("key"), F.lit(2 * k + gone).alias("part")))
+    return F.array(*made)
 
 
 def shifts(runs: int, threshold: int) -> list[tuple[int, ...]]:
@@ -214,7 +221,7 @@ def neighbours(all_lines: DataFrame, common: DataFrame | None = None, min_chars:
     """The links of lines within one edit: pairs (a, a2, b, b2), each once, and cliques (key, key2, h1, h2) of lines that are all linked with each other, no two of them in another clique or a pair."""
     every, once = folded(all_lines, common, min_chars)
     n = F.char_length("line")
-    rows = once.select("h1", F.explode(first_keys(F.col("line"), n, min_chars)).alias("q")).select("q.key", "h1", "q.part")
+    rows = once.select("h1", F.explode(first_keys(F.col("line"), n, min_chars)).alias("q")).select("q.key", "h1", "q.part").where("key is not null")
     shared = cut(several(rows))
     texts = cut(texts_of(every, shared))
     level = shared.select("key", "h1", F.floor(F.col("part") / 2).cast("int").alias("k"), (F.col("part") % 2).alias("gone"))
