@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import is_comment, occurrences, trimmed
-from ..sources.config import thresholds
+from ..sources.config import BY_LANGUAGE, thresholds
 
 
 def lines(files: DataFrame) -> DataFrame:
@@ -23,5 +23,4 @@ def lines(files: DataFrame) -> DataFrame:
 def with_thresholds(rows: DataFrame, overrides: dict | None = None) -> DataFrame:
     """``rows`` (lang, ...) with the thresholds of their language; the table has seven rows."""
     table = thresholds(rows.sparkSession, overrides)
-    known = [r["lang_key"] for r in table.select("lang_key").collect()]
-    return rows.withColumn("lang_key", F.when(F.col("lang").isin(known), F.col("lang")).otherwise("*")).join(F.broadcast(table), "lang_key").drop("lang_key")
+    return rows.withColumn("lang_key", F.when(F.col("lang").isin(*BY_LANGUAGE), F.col("lang")).otherwise("*")).join(F.broadcast(table), "lang_key").drop("lang_key")

@@ -25,9 +25,11 @@ def label(score: Column) -> Column:
 def prepared(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Lines and functions of a file table, persisted, for callers that run many detectors over them.
 
-    What doesn't fit in memory goes to disk, and what an executor loses is computed again.
+    Both are dealt out by path before they are kept, so that the detectors' aggregates, windows and
+    joins by path need no exchange of their own. What doesn't fit in memory goes to disk, and what an
+    executor loses is computed again. The caller unpersists both when done.
     """
-    return lines(files).persist(StorageLevel.MEMORY_AND_DISK), functions(files).persist(StorageLevel.MEMORY_AND_DISK)
+    return lines(files.repartition("path")).persist(StorageLevel.MEMORY_AND_DISK), functions(files).repartition("path").persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def all_smells(files: DataFrame, made: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:

@@ -1,8 +1,10 @@
-"""Vulnerability scan: one projection over files, at most one finding per rule and file.
+"""Vulnerability scan: one pass over files without a shuffle, at most one finding per rule and file.
 
-All rules are built-in expressions of one scan, in groups so that no generated method grows too
-long; gates on the extension come first and short-circuit. Patterns are rewritten so that Java reads
-them as RE2 does.
+A file that holds none of the literals of any rule, and renames no import, is done after one search for
+these literals. The others go through four steps, which Spark evaluates once each and doesn't fold into
+one another: comment lines, multi-line strings, import aliases, rules. All rules are built-in expressions,
+in groups so that no generated method grows too long; gates on the extension come first. Patterns are
+rewritten so that Java reads them as RE2 does.
 """
 
 from __future__ import annotations
@@ -26,17 +28,21 @@ def blank(c: Column) -> Column:
     return F.repeat(F.lit(" "), F.octet_length(c).cast("int"))
 
 
-def without_comments(source: Column, ext: Column) -> Column:
-    """Comment lines as spaces (their indentation goes), and for Python triple-quoted strings too."""
+def without_comment_lines(source: Column, ext: Column) -> Column:
+    """Comment lines as spaces; their indentation goes."""
 
     def lines(mark: str) -> Column:
         one = lambda x: F.when(F.ltrim(x, F.lit(" \t")).startswith(mark), blank(F.ltrim(x, F.lit(" \t")))).otherwise(x)
         return F.array_join(F.transform(F.split(source, "\n"), one), "\n")
 
-    text = lines("#")
+    return F.when(ext.isin(*PY, *HASH_COMMENTS), lines("#")).when(ext.isin(*SLASH_COMMENTS), lines("//")).otherwise(source)
+
+
+def without_long_strings(text: Column, ext: Column) -> Column:
+    """For Python, triple-quoted strings as spaces."""
     pieces = F.arrays_zip(F.split(text, TRIPLE).alias("a"), F.concat(F.regexp_extract_all(text, F.lit(f"({TRIPLE})")), F.array(F.lit(""))).alias("b"))
-    python = F.when(text.rlike(TRIPLE), F.array_join(F.transform(pieces, lambda p: F.concat(p["a"], blank(F.coalesce(p["b"], F.lit(""))))), "")).otherwise(text)
-    return F.when(ext.isin(*PY), python).when(ext.isin(*HASH_COMMENTS), text).when(ext.isin(*SLASH_COMMENTS), lines("//")).otherwise(source)
+    python = F.array_join(F.transform(pieces, lambda p: F.concat(p["a"], blank(F.coalesce(p["b"], F.lit(""))))), "")
+    return F.when(ext.isin(*PY) & text.rlike(TRIPLE), python).otherwise(text)
 
 
 def without_aliases(text: Column) -> Column:
@@ -102,11 +108,46 @@ def needles(pattern: str, least: int = 3) -> tuple[str, ...] | None:
     return tuple(dict.fromkeys(found))
 
 
+#: Literals, as ``needles`` would give them, of the patterns in which it finds none; "sha" ones stand in lower case.
+SHORT_NEEDLES = {
+    "pickle_variants_load": ("Pickle.", "pickle.", "dill."),
+    "torch_unsafe_load": ("torch.load", "torch_load"),
+    "yaml_unsafe_load_variants": ("unsafe_load",),
+    "xml_unsafe_parse": ("ElementTree.", "ET.", "minidom.parse", "xml.sax."),
+    "javascript_sql_injection": (".query", ".execute", ".prepare"),
+    "python_ssrf_urllib": ("request.urlopen", "urllib2.urlopen", "httpx.get", "ClientSession"),
+}
+SMALL_NEEDLES = {"weak_hash_sha1": ("sha1", "sha-1")}
+
+
+def any_of(text: Column, literals) -> Column:
+    return reduce(lambda x, y: x | y, [text.contains(n) for n in literals], F.lit(False))
+
+
+def due(rule: Rule, text: Column) -> Column | None:
+    """Whether a text holds a literal that every match of the rule's pattern holds; None for patterns without one."""
+    if rule.name in SMALL_NEEDLES:
+        return any_of(F.lower(text), SMALL_NEEDLES[rule.name])
+    found = SHORT_NEEDLES.get(rule.name) or needles(rule.pattern)
+    return any_of(text, found) if found else None
+
+
+def worth_reading(rules: tuple[Rule, ...], path: Column, source: Column) -> Column:
+    """Whether any rule can match in a file: by a literal, by a path, or because renamed imports may spell one."""
+    gates = [due(r, source) for r in rules if r.pattern]
+    if any(g is None for g in gates):
+        return F.lit(True)
+    plain = {n for r in rules for n in (*r.literals, *(SHORT_NEEDLES.get(r.name) or (needles(r.pattern) if r.pattern else None) or ()))}
+    small = [n for r in rules for n in SMALL_NEEDLES.get(r.name, ())]
+    held = [n for n in plain if not any(m != n and m in n for m in plain)]  # what holds a shorter one is found by that
+    return any_of(source, sorted(held)) | any_of(F.lower(source), small) | path.rlike(WORKFLOW_PATH) | source.rlike(ALIAS)
+
+
 def position(rule: Rule, text: Column, ext: Column) -> Column:
     """1-based character of the first match; null without one."""
     tries = [F.nullif(F.regexp_instr(text, F.lit(portable(rule.pattern))), F.lit(0))] if rule.pattern else []
-    if rule.pattern and (due := needles(rule.pattern)):  # a search for literals is far cheaper than a pattern
-        tries = [F.when(reduce(lambda x, y: x | y, [text.contains(n) for n in due]), tries[0])]
+    if rule.pattern and (gate := due(rule, text)) is not None:  # a search for literals is far cheaper than a pattern
+        tries = [F.when(gate, tries[0])]
     tries += [F.nullif(F.locate(x, text), F.lit(0)) for x in rule.literals]
     at = F.coalesce(*tries)
     gate = F.lit(True)
@@ -121,7 +162,11 @@ def position(rule: Rule, text: Column, ext: Column) -> Column:
 
 def scan(files: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(path, rule, category, severity, line, column) of the first match of each rule in each file; columns in bytes."""
-    cleaned = files.where("source <> ''").select("path", "ext", without_aliases(without_comments(F.col("source"), F.col("ext"))).alias("text"))
+    read = files.where("source <> ''").where(worth_reading(rules, F.col("path"), F.col("source"))).select("path", "ext", F.col("source").alias("text"))
+    cleaned = read
+    for step in (lambda t: without_comment_lines(t, F.col("ext")), lambda t: without_long_strings(t, F.col("ext")), without_aliases):
+        # a generator is a border: what stands behind it refers to the text and doesn't repeat the step
+        cleaned = cleaned.select("path", "ext", F.explode(F.array(step(F.col("text")))).alias("text"))
 
     def hit(rule: Rule, at: Column) -> Column:
         return F.when(at.isNotNull(), F.struct(F.lit(rule.name).alias("rule"), F.lit(rule.category).alias("category"), F.lit(rule.severity).alias("severity"), at.cast("int").alias("at")))

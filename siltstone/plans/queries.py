@@ -23,12 +23,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores if its files give fewer partitions than there are cores, as files of one row group do."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and pages, whole, as files, and the code fixtures."""
     docs = table(spark, sf_dir, "documents").select(F.format_string("documents/%d.go", "doc_id").alias("path"), F.lit("go").alias("lang"), F.col("text").alias("source"))
     pages = table(spark, sf_dir, "pages").select(F.format_string("pages/%d.html", "page_id").alias("path"), F.lit("html").alias("lang"), F.col("html").alias("source"))
     code = spark.createDataFrame(fixtures.FILES, "path string, lang string, source string")
-    return files(code.unionByName(docs).unionByName(pages), lang="lang")
+    return files(code.unionByName(spread(docs)).unionByName(spread(pages)), lang="lang")
 
 
 def _on_lines(f):

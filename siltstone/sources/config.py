@@ -59,7 +59,8 @@ def thresholds(spark: SparkSession, overrides: dict[str, float] | None = None) -
     """One row per language, and one with the language '*' for all others; positive overrides apply to each."""
     changed = {k: v for k, v in (overrides or {}).items() if v and v > 0}
     rows = {lang: dataclasses.replace(t, **changed) for lang, t in {"*": DEFAULT, **BY_LANGUAGE}.items()}
-    return spark.createDataFrame([(lang, *dataclasses.astuple(t)) for lang, t in rows.items()], ["lang_key", *[f.name for f in dataclasses.fields(Thresholds)]])
+    cells = ", ".join("('" + lang + "', " + ", ".join(f"{v}D" if isinstance(v, float) else str(int(v)) + "L" for v in dataclasses.astuple(t)) + ")" for lang, t in rows.items())
+    return spark.sql(f"SELECT * FROM VALUES {cells} AS t(lang_key, {', '.join(f.name for f in dataclasses.fields(Thresholds))})")
 
 
 def find_settings(start: str, name: str) -> dict:
