@@ -33,6 +33,29 @@ def test_vulnerabilities(spark, path, source, want):
     assert sorted(r.rule for r in vulnerabilities.scan(table(spark, (path, source))).collect()) == want
 
 
+def test_files_left_unread_hold_no_finding(spark):
+    from pyspark.sql import functions as F
+
+    from siltstone.plans import queries
+
+    table_ = queries.corpus(spark, "/root/testdata/sf0.001")
+    read = {r.path for r in vulnerabilities.worth_reading(table_.where("source <> ''"), vulnerabilities.RULES).select("path").collect()}
+    assert 0 < len(read) < table_.count()
+    one = [r for r in vulnerabilities.RULES if r.pattern]
+    hit = F.lit(False)
+    for r in one:
+        hit = hit | vulnerabilities.position(r, F.col("source"), F.col("ext")).isNotNull()
+    assert {r.path for r in table_.where(hit).select("path").collect()} <= read
+
+
+def test_every_rule_has_a_literal_that_gates_it():
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    texts = ["hashlib.SHA-1", "Sha1 sum", "dill.load(x)", "x\nimport numpy as np", "from a import b as c", "x.query('a')", "ET.parse(f)", "new Function", "nothing of the kind here, it imports nothing"]
+    assert pc.match_substring_regex(pa.array(texts), vulnerabilities.gate_pattern(vulnerabilities.RULES)).to_pylist() == [True] * 8 + [False]
+
+
 def test_vulnerability_place_is_the_first_match_in_bytes(spark):
     got = vulnerabilities.scan(table(spark, ("a.js", "x\n\u00e9 eval(a); eval(b)\n"))).collect()
     assert [(r.line, r.column) for r in got] == [(2, 4)]
