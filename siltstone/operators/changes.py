@@ -41,6 +41,28 @@ def hotspots(commits: DataFrame, scores: DataFrame, top: int = TOP) -> DataFrame
     return ranked.withColumn("priority", F.when(F.col("score").isNotNull(), F.col("commits") * (101 - F.col("score"))).otherwise(F.col("commits") * 11).cast("long"))
 
 
+#: Rows of the report that is shown.
+SHOWN = 20
+
+
+def top_hotspots(ranked: DataFrame, top: int = SHOWN) -> DataFrame:
+    """The first ``top`` of the ranking by priority, ties by path, with their ``rank`` from 1; such a list is the feature."""
+    first = ranked.orderBy(F.desc("priority"), "path").limit(top)
+    return first.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("priority"), "path")))
+
+
+def findings_of_change(found: DataFrame, ranges: DataFrame, changed: DataFrame, whole_folder: bool = True) -> DataFrame:
+    """Findings of changed files that touch their changed ranges.
+
+    In a scan of a folder, a changed file without a usable range keeps all its findings; in a scan of
+    single files it has none. Scores, secrets and vulnerabilities aren't narrowed to lines.
+    """
+    inside = changed_findings(changed_files(found, changed), ranges)
+    if not whole_folder:
+        return inside
+    return inside.unionByName(changed_files(found, changed).join(ranges.select("path").distinct(), "path", "left_anti"))
+
+
 def hotspot_smell(ranked: DataFrame) -> DataFrame:
     """Often changed files of a low score, on the scale of 0 to 10."""
     ten = F.col("score") / 10
@@ -92,9 +114,3 @@ def strategies(spark: SparkSession) -> DataFrame:
 def suggested(found: DataFrame, strategies: DataFrame) -> DataFrame:
     """(path, strategies): the sorted refactoring patterns for the smells of a file; smells without one add none."""
     return found.select("path", "smell").distinct().join(F.broadcast(strategies), "smell", "left").groupBy("path").agg(F.array_sort(F.collect_set("strategy")).alias("strategies"))
-
-
-def first_changes(commits: DataFrame) -> DataFrame:
-    """The first author of each path by commit order."""
-    w = Window.partitionBy("path").orderBy("commit_hash")
-    return commits.withColumn("n", F.row_number().over(w)).where("n = 1").select("path", "author")

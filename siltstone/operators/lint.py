@@ -43,6 +43,22 @@ def lint_findings(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"tool": tool(F.col("code")), "category": category(F.col("code"))})
 
 
+def in_order(needs: dict[str, tuple[str, ...]]) -> list[str]:
+    """Analyzers so that each stands behind those it needs, else by name; a circle is an error."""
+    from graphlib import CycleError, TopologicalSorter
+
+    sorter, out = TopologicalSorter(needs), []
+    try:
+        sorter.prepare()
+    except CycleError as e:
+        raise ValueError(f"analyzers need each other: {e.args[1]}") from e
+    while sorter.is_active():
+        ready = sorted(sorter.get_ready())
+        out += ready
+        sorter.done(*ready)
+    return out
+
+
 def dictionary(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(sorted(MISSPELLINGS.items()), "wrong string, right string")
 

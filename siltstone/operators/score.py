@@ -15,6 +15,8 @@ from .lines import lines, with_thresholds
 # Labels and their least scores, penalties and their caps.
 LABELS = ((80, "Go Ahead"), (60, "Proceed with Care"), (40, "Needs Work"), (0, "Stop & Refactor"))
 PENALTY = {"critical": 0.5, "alert": 0.25, "warning": 0.1}
+SCORE_BOUNDS = (0, 10, 20, 30, 40, 50, 60, 70, 74, 75, 80, 85, 90, 94, 95, 100)
+DURATION_BOUNDS = (0, 5, 10, 25, 50, 75, 100, 250, 500, 750, 1000, 2500, 5000, 7500, 10000)
 # End of fixed values.
 
 
@@ -86,3 +88,16 @@ def risk_tier(found: DataFrame) -> DataFrame:
     """(path, tier) of files with vulnerability findings."""
     grave = F.max(F.col("severity").isin("critical", "alert").cast("int"))
     return found.groupBy("path").agg(F.when(grave == 1, "Remediate").when(F.max((F.col("severity") == "warning").cast("int")) == 1, "Monitor").otherwise("Clean").alias("tier"))
+
+
+def histogram(rows: DataFrame, value: str, bounds: tuple = SCORE_BOUNDS, by: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, upto, n): how many values are at most each bound and above the one before; ``upto`` is null for those above all. Null values don't count."""
+    bucket = reduce(lambda rest, b: F.when(F.col(value) <= b, F.lit(float(b))).otherwise(rest), sorted(bounds, reverse=True), F.lit(None).cast("double"))
+    return rows.where(F.col(value).isNotNull()).groupBy(*by, bucket.alias("upto")).agg(F.count("*").alias("n"))
+
+
+def by_severity(found: DataFrame) -> DataFrame:
+    """(path, severity, rank, n, findings): the findings of each file by severity, critical ones first by ``rank``, each group by line and name."""
+    rank = F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(x) for x in PENALTY]), F.col("severity")), F.lit(0)), F.lit(len(PENALTY) + 1))
+    grouped = found.groupBy("path", "severity").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("line_start", "smell"))).alias("found"))
+    return grouped.select("path", "severity", rank.cast("int").alias("rank"), "n", F.array_join(F.transform("found", lambda x: F.concat_ws(":", x["smell"], x["line_start"].cast("string"))), ",").alias("findings"))

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import redacted
+from .declared import no_secret, predicate, skipped
 from .secret_rules import Rule, built_in
 
 # Literals that are never secrets, and marks that allow a finding.
@@ -83,23 +84,32 @@ def matcher(rules: tuple[Rule, ...]) -> Matcher:
 
 
 def candidates(files: DataFrame, rules: list[Rule] | None = None, filter_mode: str = "as_loaded") -> DataFrame:
-    """All matches, also those that aren't reported. ``filter_mode`` "declared" applies the rules' entropy bounds."""
+    """All matches, also those that aren't reported.
+
+    ``filter_mode`` "declared" leaves out the paths that aren't searched and applies the filters of all
+    rules (placeholders, variables) and of each rule (entropy bounds, expressions).
+    """
     if filter_mode not in ("as_loaded", "declared"):
         raise ValueError(filter_mode)
     chosen = tuple(built_in() if rules is None else rules)
 
     def run(batches):
-        found = matcher(chosen)
+        found, declared = matcher(chosen), filter_mode == "declared"
+        tests = {r.id: predicate(r.filter, shannon) for r in chosen if declared and r.filter}
         for batch in batches:
             rows = []
             for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if declared and skipped(path):
+                    continue
                 lines = None
-                for rule, start, _, secret in found.find(path, text):
+                for rule, start, end, secret in found.find(path, text):
                     bits = shannon(secret)
-                    if filter_mode == "declared" and rule.entropy is not None and bits <= rule.entropy:
+                    if declared and (no_secret(secret) or rule.entropy is not None and bits <= rule.entropy):
                         continue
                     lines = lines or text.split("\n")
                     at = text.count("\n", 0, start)
+                    if rule.id in tests and tests[rule.id]({"secret": secret, "match": text[start:end], "line": lines[at], "path": path}):
+                        continue
                     column = len(text[text.rfind("\n", 0, start) + 1 : start].encode()) + 1
                     rows.append((path, rule.id, at + 1, column, secret, bits, rule.report, any(ALLOW in x for x in lines[max(0, at - 1) : at + 2])))
             columns = zip(*rows, strict=True) if rows else [[]] * len(ARROW.types)
@@ -137,3 +147,21 @@ def scan(files: DataFrame, rules: list[Rule] | None = None, filter_mode: str = "
     found = with_companions(candidates(files, chosen, filter_mode), chosen)
     kept = found.where(F.col("reported") & ~F.col("allowed") & ~false_positive(F.col("secret")))
     return kept.select("path", "rule", "line", "column", redacted(F.col("secret")).alias("secret"), F.round("entropy", 6).alias("entropy"), severity(F.col("entropy")).alias("severity"))
+
+
+# What a finding says.
+MESSAGE = 'CRITICAL: %s detected on line %d. %s. You MUST rewrite this to use environment variables (e.g., os.Getenv("VAR_NAME")). Never hardcode secrets in source code.'
+# End of fixed values.
+
+
+def explained(found: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
+    """``found`` with the ``description`` of its rule and a ``message`` that says what to do; a rule without a description is described by its id."""
+    known = [(r.id, r.description or r.id) for r in (built_in() if rules is None else rules)]
+    told = found.join(F.broadcast(found.sparkSession.createDataFrame(known, "rule string, description string")), "rule", "left")  # a row for each rule
+    return told.withColumn("message", F.format_string(MESSAGE, "rule", "line", "description"))
+
+
+def has_findings(files: DataFrame, rules: list[Rule] | None = None) -> bool:
+    """Whether anything is found at all; placeholders count, allowed lines don't."""
+    chosen = built_in() if rules is None else rules
+    return not with_companions(candidates(files, chosen), chosen).where(F.col("reported") & ~F.col("allowed")).isEmpty()

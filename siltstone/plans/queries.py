@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import dataclasses
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import SPACE, redacted
-from ..operators import blocks, changes, function_smells, lint, report, score, secrets, smells, vulnerabilities
+from ..operators import advice, blocks, changes, function_smells, lint, report, score, secrets, smells, vulnerabilities
 from ..operators.functions import functions
 from ..operators.lines import lines
 from ..operators.secret_rules import built_in
@@ -109,38 +110,74 @@ def churn(spark, sf_dir):
     return changes.churn(commit_log(spark, sf_dir))
 
 
+def scored(spark, sf_dir):
+    """(files, findings, scores) of the corpus; lines and functions are kept."""
+    table_ = corpus(spark, sf_dir)
+    made = score.prepared(table_)
+    found = score.all_smells(table_, made)
+    return table_, found, score.quality(table_, found, made)
+
+
 def hotspots(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    plain = docs.select(F.format_string("documents/%d.go", "doc_id").alias("path"), F.least(F.lit(100), F.floor(F.coalesce("n_chars", F.lit(0)) / 100)).cast("int").alias("score"))
-    return changes.hotspots(commit_log(spark, sf_dir), plain)
+    return changes.hotspots(commit_log(spark, sf_dir), quality_scores(spark, sf_dir))
 
 
-def changed_findings(spark, sf_dir):
-    """Paragraph findings that touch lines 3 to 25 of documents with an even id."""
-    found = smells.paragraph_of_code(lines(corpus(spark, sf_dir)))
-    ranges = table(spark, sf_dir, "documents").where("doc_id % 2 = 0").select(F.format_string("documents/%d.go", "doc_id").alias("path"), F.lit(3).alias("start"), F.lit(25).alias("end"))
-    return changes.changed_findings(found, ranges)
+def hotspots_top(spark, sf_dir):
+    return changes.top_hotspots(hotspots(spark, sf_dir)).select("rank", "path", "commits", "authors", "score", "priority")
 
 
-def changed_smells(spark, sf_dir):
-    """Findings of all detectors that touch the middle half of the lines of any file."""
-    table_ = corpus(spark, sf_dir)
-    made = score.prepared(table_)
+def hotspot_smells(spark, sf_dir):
+    return changes.hotspot_smell(hotspots(spark, sf_dir))
+
+
+def middle_ranges(spark, sf_dir):
+    """The middle half of the lines of every file, as if it were changed."""
     n = F.count("*")
-    ranges = lines(table_).groupBy("path").agg((F.floor(n / 4) + 1).cast("int").alias("start"), F.ceil(n * 3 / 4).cast("int").alias("end"))
-    return changes.changed_findings(score.all_smells(table_, made), ranges)
+    return lines(corpus(spark, sf_dir)).groupBy("path").agg((F.floor(n / 4) + 1).cast("int").alias("start"), F.ceil(n * 3 / 4).cast("int").alias("end"))
+
+
+def changed_findings(spark, sf_dir):
+    """Findings of all detectors that touch the middle half of the lines of any file."""
+    return changes.changed_findings(scored(spark, sf_dir)[1], middle_ranges(spark, sf_dir))
+
+
+def findings_of_change(spark, sf_dir):
+    """Findings of the files that the log names, in the middle half of their lines; pages come without ranges and keep all."""
+    ranges = middle_ranges(spark, sf_dir).where("path not like 'pages/%'")
+    changed = commit_log(spark, sf_dir).select("path").unionByName(corpus(spark, sf_dir).where("path like 'pages/%'").select("path"))
+    return changes.findings_of_change(scored(spark, sf_dir)[1], ranges, changed)
 
 
 def token_costs(spark, sf_dir):
-    table_ = corpus(spark, sf_dir)
-    even = table_.select("path", F.lit(70).alias("score"))
-    return changes.token_costs(table_, even)
+    table_, _, scores = scored(spark, sf_dir)
+    return changes.token_costs(table_, scores)
+
+
+def token_savings(spark, sf_dir):
+    table_, _, scores = scored(spark, sf_dir)
+    return advice.token_savings(table_, scores)
+
+
+def directory_savings(spark, sf_dir):
+    table_, _, scores = scored(spark, sf_dir)
+    return advice.directory_savings(table_, scores)
+
+
+def assessments(spark, sf_dir):
+    _, found, scores = scored(spark, sf_dir)
+    return advice.assessments(scores, found)
+
+
+def score_histogram(spark, sf_dir):
+    return score.histogram(quality_scores(spark, sf_dir), "score")
+
+
+def findings_by_severity(spark, sf_dir):
+    return score.by_severity(scored(spark, sf_dir)[1])
 
 
 def refactoring_strategies(spark, sf_dir):
-    rows = lines(corpus(spark, sf_dir))
-    found = smells.paragraph_of_code(rows).unionByName(smells.deep_nesting(rows)).unionByName(smells.global_data(rows))
-    return changes.suggested(found, changes.strategies(spark)).select("path", F.array_join("strategies", ",").alias("strategies"))
+    return changes.suggested(scored(spark, sf_dir)[1], changes.strategies(spark)).select("path", F.array_join("strategies", ",").alias("strategies"))
 
 
 def misspelled_words(spark, sf_dir):
@@ -151,25 +188,36 @@ def language_counts(spark, sf_dir):
     return corpus(spark, sf_dir).groupBy("lang").agg(F.count("*").alias("files"), F.sum("n_bytes").alias("n_bytes"))
 
 
+def all_findings(spark, sf_dir):
+    """Entries of all scans, kept, as reports read them more than once."""
+    table_, found, _ = scored(spark, sf_dir)
+    return report.entries(found, secrets.scan(table_), vulnerabilities.scan(table_)).persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def problem_lines(spark, sf_dir):
-    return report.problems(report.entries(smells=smells.paragraph_of_code(lines(corpus(spark, sf_dir)))))
+    return report.problems(all_findings(spark, sf_dir))
 
 
 def sarif_rules(spark, sf_dir):
-    table_ = corpus(spark, sf_dir)
-    return report.sarif_rules(report.entries(score.all_smells(table_, score.prepared(table_)), secrets.scan(table_), vulnerabilities.scan(table_)))
+    return report.sarif_rules(all_findings(spark, sf_dir))
 
 
 def sarif_results(spark, sf_dir):
-    table_ = corpus(spark, sf_dir)
-    return report.sarif_results(report.entries(smells=smells.paragraph_of_code(lines(table_)), vulnerabilities=vulnerabilities.scan(table_)))
+    return report.sarif_results(all_findings(spark, sf_dir))
+
+
+def sarif_log(spark, sf_dir):
+    return report.sarif_log(all_findings(spark, sf_dir), "siltstone", "1.0")
 
 
 def json_report(spark, sf_dir):
-    table_ = corpus(spark, sf_dir)
-    made = score.prepared(table_)
-    found = score.all_smells(table_, made)
-    return report.json_report(score.quality(table_, found, made), found)
+    table_, found, scores = scored(spark, sf_dir)
+    return report.json_report(scores, found, secrets.scan(table_), vulnerabilities.scan(table_))
+
+
+def secret_severities(spark, sf_dir):
+    """Every reported secret, redacted, with its entropy and severity."""
+    return secrets.scan(corpus(spark, sf_dir)).select("path", "rule", "secret", "entropy", "severity")
 
 
 def scan_events(spark, sf_dir):
@@ -195,8 +243,18 @@ QUERIES = {
     "churn": churn,
     "hotspots": hotspots,
     "changed_findings": changed_findings,
-    "changed_smells": changed_smells,
+    "changed_smells": changed_findings,
+    "findings_of_change": findings_of_change,
+    "hotspots_top": hotspots_top,
+    "hotspot_smells": hotspot_smells,
     "token_costs": token_costs,
+    "token_savings": token_savings,
+    "directory_savings": directory_savings,
+    "assessments": assessments,
+    "score_histogram": score_histogram,
+    "findings_by_severity": findings_by_severity,
+    "secret_severities": secret_severities,
+    "sarif_log": sarif_log,
     "refactoring_strategies": refactoring_strategies,
     "misspelled_words": misspelled_words,
     "language_counts": language_counts,
@@ -389,26 +447,14 @@ ORACLE_SQL = {
         FROM m WHERE NOT (lower(s) IN ({", ".join(fixtures.text(x) for x in secrets.PLACEHOLDERS)}) OR starts_with(lower(s), '{secrets.PLACEHOLDER_PREFIX}') OR (starts_with(s, 'eyJ') AND NOT contains(s, '.') AND strlen(s) <= 50)) GROUP BY path""",
     "secret_text_functions": "SELECT event_id, CASE WHEN strlen(props) <= 8 THEN '***' ELSE left(props, 4) || '...' || right(props, 4) END AS shown, strlen(props) AS n_bytes FROM events",
     "churn": "SELECT 'documents/' || user_id || '.go' AS path, count(*) AS commits, count(DISTINCT event_type) AS authors FROM events GROUP BY user_id",
-    "hotspots": f"""WITH c AS (SELECT 'documents/' || user_id || '.go' AS path, count(*) AS commits, count(DISTINCT event_type) AS authors FROM events GROUP BY user_id),
-        q AS (SELECT 'documents/' || doc_id || '.go' AS path, least(100, coalesce(n_chars, 0) // 100)::INT AS score FROM documents),
-        t AS (SELECT path FROM c ORDER BY commits DESC, path LIMIT {changes.TOP}), b AS (SELECT path, score FROM t JOIN q USING (path))
-        SELECT path, commits, authors, score, CASE WHEN score IS NOT NULL THEN commits * (101 - score) ELSE commits * 11 END AS priority FROM c LEFT JOIN b USING (path)""",
-    "changed_findings": f"""WITH {LINES}, p AS ({_PARA}) SELECT p.* FROM p JOIN documents d ON p.path = 'documents/' || d.doc_id || '.go' AND d.doc_id % 2 = 0
-        WHERE line_start BETWEEN 3 AND 25 OR (line_end >= 3 AND line_start <= 25)""",
-    "token_costs": f"""WITH {FILES} SELECT path, ceil(strlen(source) / 4)::BIGINT AS tokens, floor(ceil(strlen(source) / 4) * 0.4)::BIGINT AS saved, round(ceil(strlen(source) / 4) * 3.0 / 1000000, 3)::DOUBLE AS cost FROM files""",
     "misspelled_words": f"""WITH {LINES}, d AS (SELECT * FROM (VALUES {fixtures.values(sorted(lint.MISSPELLINGS.items()))}) v(wrong, "right")),
         w AS (SELECT path, line_no, unnest(regexp_extract_all(lower(line), '[a-z]+')) AS wrong FROM ln)
         SELECT path, line_no, wrong, "right", count(*) AS n FROM w JOIN d USING (wrong) GROUP BY ALL""",
     "language_counts": f"WITH {FILES} SELECT lang, count(*) AS files, sum(strlen(source))::BIGINT AS n_bytes FROM files GROUP BY lang",
-    "problem_lines": f"""WITH {LINES}, p AS ({_PARA}) SELECT path || ':' || line_start || ':1: warning: paragraph_of_code' AS value FROM p""",
     "scan_events": "SELECT time_bucket(INTERVAL 15 SECONDS, ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL",
 }
 
 
-_STRATEGIES = " UNION ALL ".join(f"SELECT path, smell FROM ({ORACLE_SQL[f'smell_{x}']})" for x in ("paragraph_of_code", "deep_nesting", "global_data"))
-ORACLE_SQL["refactoring_strategies"] = f"""SELECT path, coalesce(string_agg(DISTINCT strategy, ',' ORDER BY strategy), '') AS strategies
-    FROM ({_STRATEGIES}) LEFT JOIN (VALUES {fixtures.values(sorted(changes.STRATEGIES.items()))}) v(smell, strategy) USING (smell) GROUP BY path"""
-
 _ALL_SMELLS = " UNION ALL ".join(f"SELECT path, smell, severity, line_start, line_end, value FROM ({sql})" for name, sql in ORACLE_SQL.items() if name.startswith("smell_"))
 
 
@@ -431,3 +477,61 @@ ORACLE_SQL |= {
     "quality_labels": f"{_SCORES}, l AS (SELECT score, {_LABEL} AS label FROM scored) SELECT label, count(*) AS files, min(score) AS least, max(score) AS most FROM l GROUP BY label",
     "smell_severities": f"WITH found AS ({_ALL_SMELLS}) SELECT smell, severity, count(*) AS n, count(DISTINCT path) AS files FROM found GROUP BY ALL",
 }
+
+_BITS = """SELECT path, i, s, -sum(c / l * log2(c / l)) AS bits FROM (SELECT path, i, s, length(s) AS l, ch, count(*) AS c FROM (SELECT path, i, s, unnest(string_split(s, '')) AS ch FROM m) GROUP BY ALL) GROUP BY path, i, s"""
+_SECRETS = f"""WITH {FILES}, g AS (SELECT path, regexp_extract_all(source, '{_java_free(GENERIC.pattern)}', 1) AS l FROM files WHERE {" OR ".join(f"contains(lower(source), '{k}')" for k in GENERIC.keywords)}),
+    m AS (SELECT path, unnest(l) AS s, generate_subscripts(l, 1) AS i FROM g), e AS ({_BITS})
+    SELECT path, i, '{GENERIC.id}' AS rule, CASE WHEN strlen(s) <= 8 THEN '***' ELSE left(s, 4) || '...' || right(s, 4) END AS secret, round(bits, 6) AS entropy,
+           CASE WHEN round(bits, 6) >= 4.5 THEN 'critical' WHEN round(bits, 6) >= 3.5 THEN 'alert' ELSE 'warning' END AS severity
+    FROM e WHERE NOT (lower(s) IN ({", ".join(fixtures.text(x) for x in secrets.PLACEHOLDERS)}) OR starts_with(lower(s), '{secrets.PLACEHOLDER_PREFIX}') OR (starts_with(s, 'eyJ') AND NOT contains(s, '.') AND strlen(s) <= 50))"""
+_RANGES = f"r AS (SELECT path, count(*) // 4 + 1 AS start, ceil(count(*) * 3 / 4)::INT AS stop FROM lines GROUP BY path)"
+_TOUCHES = "(line_start BETWEEN start AND stop OR (line_end >= start AND line_start <= stop))"
+_CHURN = "c AS (SELECT 'documents/' || user_id || '.go' AS path, count(*) AS commits, count(DISTINCT event_type) AS authors FROM events GROUP BY user_id)"
+_HOT = f"""{_SCORES}, {_CHURN},
+    t AS (SELECT path FROM c ORDER BY commits DESC, path LIMIT {changes.TOP}), b AS (SELECT path, score FROM t JOIN scored USING (path)),
+    hot AS (SELECT path, commits, authors, score, CASE WHEN score IS NOT NULL THEN commits * (101 - score) ELSE commits * 11 END AS priority FROM c LEFT JOIN b USING (path))"""
+_CASE_RULES = " ".join(f"WHEN {fixtures.text(k)} THEN {fixtures.text(v)}" for k, v in report.NAMES.items())
+_SAVINGS = f"""{_SCORES}, n AS (SELECT path, ceil(strlen(source) / 4)::BIGINT AS tokens, CASE WHEN score < 50 THEN 0.5::DOUBLE WHEN score < 65 THEN 0.45::DOUBLE WHEN score < 80 THEN 0.4::DOUBLE ELSE 0.1::DOUBLE END AS cut FROM files JOIN scored USING (path)),
+    a AS (SELECT path, tokens, floor(tokens * (1 - cut) + 0.5::DOUBLE)::BIGINT AS after_ FROM n),
+    p AS (SELECT path, tokens, after_ AS after, tokens - after_ AS saved, price, floor((tokens - after_) / 1000000 * price * 1000 + 0.5::DOUBLE) / 1000 AS per_read FROM a, (VALUES (15.0::DOUBLE), (10.0::DOUBLE), (3.0::DOUBLE)) v(price)),
+    q AS (SELECT *, floor(per_read * 132000 * 100 + 0.5::DOUBLE) / 100 AS monthly FROM p),
+    savings AS (SELECT *, floor(monthly * 1.4::DOUBLE * 100 + 0.5::DOUBLE) / 100 AS with_iterations FROM q)"""
+_STRATEGY = f"strategies AS (SELECT * FROM (VALUES {fixtures.values(sorted(changes.STRATEGIES.items()))}) v(smell, strategy))"
+_REST = "'RECOMMENDATION: STOP — refactor before any AI modification. ' || CASE WHEN n > 0 THEN 'Call get_refactoring_strategy() for the specific smell names above. Do NOT modify this file until the score is above 80.' ELSE 'The file is in a risky state and cannot be safely edited as-is.' END"
+_WORK = "'RECOMMENDATION: Needs Work — significant complexity issues. ' || CASE WHEN n > 0 THEN 'Use get_refactoring_strategy() for the smells above. Refactor incrementally in 3-5 small steps, re-running analyze_code after each.' ELSE 'Refactor incrementally in 3-5 small steps before adding features.' END"
+_CARE = "'RECOMMENDATION: Proceed with Care — use guard clauses and small isolated changes. Re-check after each edit with analyze_code.'"
+_ENTRIES = f"""en AS (SELECT 0 AS k, 'smell' AS kind, smell AS rule, severity, path, line_start AS line, 1 AS col FROM ({_ALL_SMELLS}) WHERE line_start > 0
+    UNION ALL SELECT 1, 'secret', rule, severity, path, i, 1 FROM ({_SECRETS}) UNION ALL SELECT 2, 'vulnerability', rule, severity, path, line, "column" FROM ({_VULN}))"""
+ORACLE_SQL |= {
+    "hotspots": f"{_HOT} SELECT * FROM hot",
+    "hotspots_top": f"{_HOT} SELECT (row_number() OVER (ORDER BY priority DESC, path))::INT AS rank, * FROM (SELECT * FROM hot ORDER BY priority DESC, path LIMIT 20)",
+    "hotspot_smells": f"{_HOT} SELECT path, 'hotspot' AS smell, CASE WHEN commits >= 50 AND score / 10 < 4 THEN 'critical' WHEN commits >= 20 THEN 'alert' ELSE 'warning' END AS severity, commits, score FROM hot WHERE commits >= 5 AND score / 10 <= 7",
+    **dict.fromkeys(("changed_findings", "changed_smells"), f"WITH {LINES}, f AS ({_ALL_SMELLS}), {_RANGES} SELECT f.* FROM f JOIN r USING (path) WHERE {_TOUCHES}"),
+    "findings_of_change": f"""WITH {LINES}, f AS ({_ALL_SMELLS}), {_RANGES}, g AS (SELECT DISTINCT 'documents/' || user_id || '.go' AS path FROM events)
+        SELECT f.* FROM f JOIN r USING (path) JOIN g USING (path) WHERE {_TOUCHES} UNION ALL SELECT * FROM f WHERE path LIKE 'pages/%'""",
+    "token_costs": f"""{_SCORES}, n AS (SELECT path, ceil(strlen(source) / 4)::BIGINT AS tokens, score FROM files JOIN scored USING (path))
+        SELECT path, tokens, floor(tokens * CASE WHEN score < 50 THEN 0.5::DOUBLE WHEN score < 65 THEN 0.45::DOUBLE WHEN score < 80 THEN 0.4::DOUBLE ELSE 0.1::DOUBLE END)::BIGINT AS saved, round(tokens * 3.0::DOUBLE / 1000000, 3) AS cost FROM n""",
+    "token_savings": f"{_SAVINGS} SELECT * FROM savings",
+    "directory_savings": f"{_SAVINGS} SELECT price, count(*) AS files, sum(tokens)::BIGINT AS tokens, sum(after)::BIGINT AS after, sum(saved)::BIGINT AS saved, sum(saved) / 1000000 * price * 132000 AS monthly FROM savings GROUP BY price",
+    "assessments": f"""{_SCORES}, {_STRATEGY}, al AS (SELECT path, score, {_LABEL} AS label FROM scored),
+        ai AS (SELECT path, count(*) AS n, string_agg(chr(10) || '  - ' || smell || ' (' || severity || '): ' || value::DECIMAL(38, 2), '' ORDER BY line_start, smell, severity, value) AS issues FROM found GROUP BY path),
+        ast AS (SELECT path, string_agg(DISTINCT chr(10) || '  - get_refactoring_strategy("' || strategy || '")', '' ORDER BY chr(10) || '  - get_refactoring_strategy("' || strategy || '")') AS steps FROM found JOIN strategies USING (smell) GROUP BY path),
+        aj AS (SELECT path, label, score, coalesce(n, 0) AS n, issues, steps FROM al LEFT JOIN ai USING (path) LEFT JOIN ast USING (path))
+        SELECT path, label || ' — Score: ' || score || '/100' || coalesce(chr(10) || 'Detected ' || n || ' issues:' || issues, '')
+            || coalesce(chr(10) || chr(10) || 'REFACTORING STEPS: Call get_refactoring_strategy() for each detected smell:' || steps || chr(10) || '  Then refactor in 3-5 small steps, re-running analyze_code after each to verify improvement.', '')
+            || CASE label WHEN 'Stop & Refactor' THEN chr(10) || chr(10) || {_REST} WHEN 'Needs Work' THEN chr(10) || chr(10) || {_WORK} WHEN 'Proceed with Care' THEN chr(10) || chr(10) || {_CARE} ELSE '' END AS assessment FROM aj""",
+    "score_histogram": f"{_SCORES}, b AS (SELECT (SELECT min(x) FROM (VALUES (0), (10), (20), (30), (40), (50), (60), (70), (74), (75), (80), (85), (90), (94), (95), (100)) v(x) WHERE score <= x)::DOUBLE AS upto FROM scored) SELECT upto, count(*) AS n FROM b GROUP BY upto",
+    "findings_by_severity": f"""WITH f AS ({_ALL_SMELLS}) SELECT path, severity, CASE severity WHEN 'critical' THEN 1 WHEN 'alert' THEN 2 WHEN 'warning' THEN 3 ELSE 4 END AS rank, count(*) AS n,
+        string_agg(smell || ':' || line_start, ',' ORDER BY line_start, smell) AS findings FROM f GROUP BY path, severity""",
+    "refactoring_strategies": f"WITH {_STRATEGY}, f AS ({_ALL_SMELLS}) SELECT path, coalesce(string_agg(DISTINCT strategy, ',' ORDER BY strategy), '') AS strategies FROM f LEFT JOIN strategies USING (smell) GROUP BY path",
+    "secret_severities": f"SELECT path, rule, secret, entropy, severity FROM ({_SECRETS})",
+    "sarif_rules": f"""WITH {_ENTRIES}, o AS (SELECT *, row_number() OVER (PARTITION BY rule ORDER BY k, path, line, col, severity) AS nth,
+            CASE severity WHEN 'critical' THEN 9.5 WHEN 'error' THEN 8.0 WHEN 'alert' THEN 8.0 WHEN 'warning' THEN 5.0 WHEN 'info' THEN 4.0 ELSE 1.0 END::DOUBLE AS sc FROM en),
+        t AS (SELECT *, max(sc) OVER (PARTITION BY rule) AS top FROM o)
+        SELECT rule, kind, CASE rule {_CASE_RULES} ELSE array_to_string(list_transform(string_split(rule, '_'), lambda w: upper(left(w, 1)) || substr(w, 2)), ' ') END AS name,
+            (row_number() OVER (ORDER BY k, path, line, col, severity) - 1)::INT AS index, CASE WHEN severity IN ('critical', 'error') THEN 'error' WHEN severity = 'warning' THEN 'warning' ELSE 'note' END AS level,
+            CASE WHEN kind <> 'vulnerability' THEN top WHEN severity = 'critical' THEN 9.5 WHEN severity = 'error' THEN 7.5 WHEN severity = 'warning' THEN 5.0 ELSE 3.0 END::DOUBLE AS score,
+            CASE kind WHEN 'secret' THEN 'high' ELSE 'very-high' END AS precision,
+            CASE kind WHEN 'smell' THEN 'maintainability,code-quality' WHEN 'secret' THEN 'security,secret-detection' ELSE 'security,vulnerability' END AS tags
+        FROM t WHERE nth = 1""",
+}

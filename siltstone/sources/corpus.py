@@ -16,6 +16,8 @@ EXTENSIONS = (
 ).split()
 BASENAMES = "Dockerfile Makefile Jenkinsfile Vagrantfile Gemfile Rakefile Procfile .env".split()
 SKIPPED_FOLDERS = ("node_modules", "vendor", "testdata")
+REPORT_SKIPPED_FOLDERS = ("node_modules", "vendor")
+REPORT_LEFT_OUT = (".env",)
 # End of fixed values.
 
 BINARY_PREFIX = 8000
@@ -72,3 +74,16 @@ def read_files(spark: SparkSession, root: str, ignore: list[str] = (), exclude:
         named = named.where(~F.col("path").rlike(pattern))
     text = named.where(F.locate("\x00", F.make_valid_utf8(F.substring("content", 1, BINARY_PREFIX).cast("string"))) == 0)
     return files(text.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("source")))
+
+
+def read_report_files(spark: SparkSession, root: str, ignore: list[str] = (), exclude: list[str] = ()) -> DataFrame:
+    """The files of a report: as ``read_files``, but with test data and without environment files by extension."""
+    return read_files(spark, root, ignore, exclude, REPORT_SKIPPED_FOLDERS).where(~F.col("ext").isin(*REPORT_LEFT_OUT))
+
+
+def read_file(spark: SparkSession, path: str, root: str = "") -> DataFrame:
+    """One file, whatever its name, with its path relative to ``root`` if it lies below; a binary file gives no row."""
+    raw = spark.read.format("binaryFile").load(path)
+    here = path[len(root.rstrip("/")) + 1 :] if root and path.startswith(root.rstrip("/") + "/") else path
+    text = raw.where(F.locate("\x00", F.make_valid_utf8(F.substring("content", 1, BINARY_PREFIX).cast("string"))) == 0)
+    return files(text.select(F.lit(here).alias("path"), F.make_valid_utf8(F.col("content").cast("string")).alias("source")))
