@@ -33,6 +33,8 @@ from .common import cut, text_or_empty
 CROWD = 24
 #: Bound on the number of lines that are folded by a broadcast, the most common ones; no other can be more than one line in so many.
 MOST_COMMON = 10_000
+#: Copies of a line beyond which it counts as common, and places of a common line that are dealt together.
+COPIES = 1000
 WORD = (1 << 32) - 1
 
 
@@ -274,9 +276,17 @@ def links(all_lines: DataFrame, common: DataFrame | None = None, threshold: int
 
 
 def most_common(all_lines: DataFrame) -> DataFrame:
-    """(h1) of the MOST_COMMON lines with the most copies, over 1,000 each; any other line has a smaller share of all lines."""
-    counted = all_lines.groupBy("h1").agg(F.count("*").alias("copies")).where("copies > 1000")
-    return counted.orderBy(F.desc("copies"), "h1").limit(MOST_COMMON).select("h1")
+    """(h1, copies) of the MOST_COMMON lines with the most copies, over COPIES each; any other line has a smaller share of all lines."""
+    counted = all_lines.groupBy("h1").agg(F.count("*").alias("copies")).where(f"copies > {COPIES}")
+    return counted.orderBy(F.desc("copies"), "h1").limit(MOST_COMMON)
+
+
+def spread(spots: DataFrame, known: DataFrame, common: DataFrame) -> DataFrame:
+    """``spots`` (doc, line_no, h1, h2) joined with ``known`` (h1, h2, ...); a line of ``common`` (h1, copies) has a row of ``known`` for every COPIES of its places, so that they are dealt over many tasks."""
+    salts = F.broadcast(common.select("h1", F.ceil(F.col("copies") / COPIES).cast("int").alias("salts")))
+    dealt = spots.join(salts, "h1", "left").withColumn("salt", F.when(F.col("salts").isNotNull(), F.pmod(F.xxhash64("doc", "line_no"), F.col("salts"))).otherwise(0).cast("int"))
+    copied = known.join(salts, "h1", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)))
+    return dealt.drop("salts").join(copied.drop("salts"), ["h1", "h2", "salt"]).drop("salt")
 
 
 def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 1, min_chars: int = 1) -> DataFrame:
@@ -311,7 +321,7 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     linked = told.groupBy("h1", "h2").agg(F.min("best").alias("best"), F.sum("n_links").alias("n_links"))
     known = firsts.join(linked, ["h1", "h2"], "left").select("h1", "h2", "first", "best", F.coalesce("n_links", F.lit(0)).alias("n_links"))
     here = F.struct("doc", "line_no")
-    joined = spots.join(known, ["h1", "h2"])
+    joined = spread(spots, known, common)
     earliest = F.least("first", "best")
     return joined.select("doc", "line_no", earliest["doc"].alias("class_doc"), earliest["line_no"].alias("class_line"), "n_links", (earliest == here).alias("kept"), (F.col("first") < here).alias("copy"))
 

@@ -174,6 +174,18 @@ def test_line_dedup_of_lines_of_every_length_equals_brute_force(spark, crowd, mo
     assert got == lines_by_force(docs, 1)
 
 
+def test_places_of_common_lines_are_dealt_over_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "COPIES", 3)
+    monkeypatch.setattr(line_dedup, "MOST_COMMON", 2)
+    docs = [(k, f"a line that all of them hold\nand one in two {k % 2}\nrare {k * 97}\na line that all of them holds") for k in range(1, 30)] + [(0, "a line that all of them hold"), (None, "rare 97"), (77, None)]
+    every = line_dedup.lines(table(spark, docs), "doc_id", "text")
+    assert sorted(r.copies for r in line_dedup.most_common(every).collect()) == [29, 30]
+    got = {r.doc_id: [r.n_lines, r.n_kept, r.n_links, r.class_id, r.text] for r in line_dedup.line_dedup(table(spark, docs)).collect()}
+    want = lines_by_force([(-1 if d is None else d, t) for d, t in docs], 1)
+    want = {(None if d == -1 else d): [*v[:3], None if v[3] == -1 else v[3], v[4]] for d, v in want.items()}
+    assert got == want
+
+
 def test_crowds_of_long_lines_are_settled_without_their_pairs(spark):
     rnd = random.Random(3)
     long = words(rnd, 6000, "abcdé ")
