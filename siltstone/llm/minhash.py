@@ -10,12 +10,13 @@ size of the document, and further in the rare case that a component is still emp
 
 Plan: one narrow pass makes signatures; bands of them are shuffled as (band hash, text digest), with
 equal texts folded first, so that copies cost one row. Within a band hash, texts go by the next
-band's hash, and each is paired with its predecessor. Pairs are verified on
+band's hash, and each is paired with its predecessor, in large bands part by part. Pairs are verified on
 whole texts by multiset overlap, and verified links give classes by connected components. Where texts
 that share a band hash are still in different classes and not all pairs of them were tried, the
-rest is settled exactly: texts that can't reach the similarity because of shingles that no other open
-text has are left out, and the others are compared in blocks of bounded size, each of which reports a
-spanning star of its links and no pairs. So the pairing loses no link that the bands offer.
+rest is settled exactly by an inverted index: texts of different classes can only be linked if they meet
+in a rare shingle that several classes have, so texts without one are left out, and the others are
+compared in blocks of bounded size with those that they can meet, each of which reports a spanning
+star of its links and no pairs. So the pairing loses no link that the bands offer.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ ROWS, BANDS = 4, 24
 HORIZON = 3.5
 #: Texts and bytes of a block in which open texts are compared with each other, about.
 BLOCK_ROWS, BLOCK_BYTES = 400, 2 << 20
+#: Texts of a band that are put in order by one task, about; larger bands are dealt into parts.
+BAND_TEXTS = 1000
 LENGTH_STEP = np.uint64(0xD1342543DE82EF95)
 ID_BITS = np.uint64(24)
 
@@ -158,6 +161,19 @@ def banded(texts: DataFrame, width: int, rows: int, bands: int) -> DataFrame:
     return pairs.select("band", F.col("hashes")[(F.col("k") + 1) % bands].alias("next"), "tid").distinct()
 
 
+def predecessors(shared: DataFrame, band_texts: int = BAND_TEXTS) -> DataFrame:
+    """Distinct (a, b) of texts that follow each other in a band of ``shared`` (band, next, tid, n); n is the size of the band.
+
+    Bands of more than ``band_texts`` are dealt into parts of about that many by a hash; texts follow each
+    other in these parts, and the first texts of the parts do so in the band.
+    """
+    dealt = shared.withColumn("part", F.pmod(F.xxhash64("tid"), F.ceil(F.col("n") / band_texts)).cast("int"))
+    behind = lambda *by: F.lag("tid").over(Window.partitionBy(*by).orderBy("next", "tid"))
+    inside = dealt.withColumn("before", behind("band", "part"))
+    heads = inside.where(f"before is null and n > {band_texts}").withColumn("before", behind("band"))
+    return ordered_pairs(inside.select("tid", "before").unionByName(heads.select("tid", "before")), "tid", "before")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float, width: int) -> DataFrame:
     """The (a, b) of ``pairs`` whose texts (tid, body) have at least ``similarity``."""
     out = pa.schema([("a", pa.binary()), ("b", pa.binary())])
@@ -174,13 +190,16 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float, width: int)
     return pairs.join(left, "b").join(right, "a").select("a", "b", "body_a", "body_b").mapInArrow(run, "a binary, b binary")
 
 
-def shareable(texts: DataFrame, similarity: float, width: int) -> DataFrame:
-    """(tid, n, own) of the texts that can have a link among ``texts``: shingles in all, and those that no other has.
+def meetings(texts: DataFrame, similarity: float, width: int) -> DataFrame:
+    """(tid, l, h): the shingles ``h`` of which any two linked texts (tid, body, label) of different labels have one in common, and a hash of the label.
 
-    What only one of the texts has can't be shared, so ``n - own`` bounds every overlap from above,
-    and a text whose bound is below ``similarity`` of its size has no link here.
+    A text's shingles are put in one order for all texts: those that one label alone has, and then the
+    others, the rarest first. The first shingle that two linked texts share is, in both of them, followed
+    by at least ``similarity`` of the text (itself included), as the overlap is no smaller; and what one
+    label alone has joins no labels. So only shingles with that much behind them need to be met, and a
+    text of which more than the rest is its own label's has none.
     """
-    out = pa.schema([("tid", pa.binary()), ("n", pa.int64()), ("hashes", pa.list_(pa.int64())), ("weights", pa.list_(pa.int64()))])
+    out = pa.schema([("tid", pa.binary()), ("l", pa.int64()), ("n", pa.int64()), ("hashes", pa.list_(pa.int64())), ("weights", pa.list_(pa.int64()))])
 
     def run(batches):
         for part, data, offsets in chunks(batches, 1):
@@ -188,12 +207,14 @@ def shareable(texts: DataFrame, similarity: float, width: int) -> DataFrame:
             order = np.argsort(row, kind="stable")
             edges = pa.array(np.searchsorted(row[order], np.arange(len(offsets))).astype(np.int32))
             lists = [pa.ListArray.from_arrays(edges, pa.array(x[order])) for x in (hashed.view(np.int64), weight.astype(np.int64))]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.bincount(row, weight, len(offsets) - 1).astype(np.int64)), *lists], schema=out)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(np.bincount(row, weight, len(offsets) - 1).astype(np.int64)), *lists], schema=out)
 
-    made = texts.mapInArrow(run, "tid binary, n long, hashes array<long>, weights array<long>").withColumn("k", F.xxhash64("tid"))
-    each = made.select("k", F.explode(F.arrays_zip("hashes", "weights")).alias("s")).select("k", F.col("s.hashes").alias("h"), F.col("s.weights").alias("w"))
-    own = each.groupBy("h").agg(F.min("k").alias("k"), F.max("k").alias("k2"), F.min("w").alias("w")).where("k = k2").groupBy("k").agg(F.sum("w").alias("own"))
-    return made.select("tid", "n", "k").join(own, "k", "left").select("tid", "n", F.coalesce("own", F.lit(0)).alias("own")).where(F.col("n") - F.col("own") >= similarity * F.col("n"))
+    made = texts.select("tid", "body", F.xxhash64("label").alias("l")).mapInArrow(run, "tid binary, l long, n long, hashes array<long>, weights array<long>")
+    each = made.select("tid", "l", "n", F.explode(F.arrays_zip("hashes", "weights")).alias("s")).select("tid", "l", "n", F.col("s.hashes").alias("h"), F.col("s.weights").alias("w"))
+    shared = each.groupBy("h").agg(F.count("*").alias("f"), F.min("l").alias("x"), F.max("l").alias("y")).where("x < y").select("h", "f")
+    before = Window.partitionBy("tid").orderBy(F.col("f").isNotNull(), "f", "h").rowsBetween(Window.unboundedPreceding, -1)
+    placed = each.join(shared, "h", "left").withColumn("rest", F.col("n") - F.coalesce(F.sum("w").over(before), F.lit(0)))
+    return placed.where(F.col("f").isNotNull() & (F.col("rest") >= F.col("n") * (similarity - 1e-9))).select("tid", "l", "h")
 
 
 def with_labels(rows: DataFrame, classes: DataFrame) -> DataFrame:
@@ -247,15 +268,21 @@ def block_links(tids: list[bytes], bodies: pa.Array, similarity: float, width: i
 
 
 def settled(open_: DataFrame, texts: DataFrame, similarity: float, width: int, block_rows: int = BLOCK_ROWS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Links (a, b) that join open texts (band, tid) exactly as all their links would.
+    """Links (a, b) that join open texts (band, tid, label) exactly as all their links would; texts of one label are joined already, and without that column none are.
 
-    Texts that meet in bands, directly or over others, form a group; a group is dealt into blocks by
-    a hash, and every two blocks of a group meet in one task. No pair leaves a task but those of a
-    star for each class that the task finds.
+    Texts that meet in bands, directly or over others, and among these in a shingle that has to be met
+    (``meetings``) and that different labels have, form a group; a group is dealt into blocks by a hash,
+    and every two blocks of a group meet in one task. No pair leaves a task but those of a star for each
+    class that the task finds.
     """
-    able = cut(open_.join(shareable(texts.join(open_.select("tid").distinct(), "tid", "left_semi"), similarity, width), "tid").select("band", "tid"))
+    named = (open_ if "label" in open_.columns else open_.withColumn("label", F.col("tid"))).select("tid", "label").distinct()
+    met = cut(meetings(texts.join(named, "tid"), similarity, width))
+    able = cut(open_.join(met.select("tid").distinct(), "tid").select("band", "tid"))
     first = able.groupBy("band").agg(F.min("tid").alias("a"), F.count("*").alias("n")).where("n > 1")
-    groups = components(cut(able.join(first, "band").select("a", F.col("tid").alias("b")).distinct()))
+    near = components(cut(able.join(first, "band").select("a", F.col("tid").alias("b")).distinct())).select(F.col("node").alias("tid"), F.col("label").alias("near"))
+    met = met.join(near, "tid")
+    lead = met.groupBy("near", "h").agg(F.min("tid").alias("a"), F.min("l").alias("x"), F.max("l").alias("y")).where("x < y").select("near", "h", "a")
+    groups = components(cut(met.join(lead, ["near", "h"]).select("a", F.col("tid").alias("b")).distinct()))
     sized = texts.join(groups, F.col("tid") == F.col("node")).select("tid", F.col("label").alias("grp"), "body")
     parts = sized.groupBy("grp").agg(F.greatest(F.ceil(F.count("*") / block_rows), F.ceil(F.sum(F.octet_length("body")) / block_bytes)).cast("int").alias("parts"))
     own = F.pmod(F.xxhash64("tid"), F.col("parts")).cast("int")
@@ -312,8 +339,7 @@ def classes_of(docs: DataFrame, id_col: str, text_col: str, similarity: float, w
     bands_of = cut(banded(all_rows.select("tid", "body"), width, rows, bands))
     crowded = bands_of.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     shared = cut(bands_of.join(crowded, "band"))
-    w = Window.partitionBy("band").orderBy("next", "tid")
-    pairs = ordered_pairs(shared.select("tid", F.lag("tid").over(w).alias("before")), "tid", "before")
+    pairs = predecessors(shared)
     wanted = shared.select("tid").distinct()
     texts = cut(all_rows.join(wanted, "tid", "left_semi").groupBy("tid").agg(F.first("body").alias("body")))
     links = cut(verified(pairs, texts, similarity, width))
@@ -321,7 +347,7 @@ def classes_of(docs: DataFrame, id_col: str, text_col: str, similarity: float, w
     # what neighbours didn't settle
     labelled = with_labels(shared.select("band", "n", "tid"), classes)
     split = labelled.where("n > 2").groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("band")
-    open_ = cut(labelled.join(split, "band", "left_semi").select("band", "tid"))
+    open_ = cut(labelled.join(split, "band", "left_semi").select("band", "tid", "label"))
     if not open_.isEmpty():
         late = cut(settled(open_, texts, similarity, width))
         if not late.isEmpty():

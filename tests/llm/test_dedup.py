@@ -283,6 +283,37 @@ def test_blocks_join_as_all_links_would(spark):
     assert all(got.get(bytes([d]), bytes([d])) == bytes([c]) for d, c, _, _ in want)
 
 
+@pytest.mark.parametrize("labels", [1, 7, 60])
+def test_open_texts_of_several_labels_are_joined_as_all_links_would(spark, labels):
+    rnd = random.Random(labels)
+    base = [[rnd.choice("abcdefgh") + str(k) for k in range(60)] for _ in range(4)]
+    texts = []
+    for k in range(60):
+        x = list(base[k % 4][:30] + base[(k // 4) % 4][30:])
+        for _ in range(rnd.choice([0, 0, 1, 2])):
+            x[rnd.randrange(60)] = "z" + str(rnd.randrange(5))
+        texts.append((bytes([k]), " ".join(x)))
+    label = {t: bytes([k % labels]) for k, (t, _) in enumerate(texts)}
+    open_ = spark.createDataFrame([(1, t, label[t]) for t in label], "band long, tid binary, label binary")
+    links = minhash.settled(open_, spark.createDataFrame([(t, b.encode()) for t, b in texts], "tid binary, body binary"), 0.8, 5, block_rows=7)
+    chained = links.unionByName(open_.selectExpr("label a", "tid b"))
+    got = {bytes(r.node): bytes(r.label) for r in components.components(chained).collect()}
+    bags = [set(tuple(b.split()[i : i + 5]) for i in range(56)) for _, b in texts]
+    linked = [(texts[i][0], texts[j][0]) for i in range(60) for j in range(i) if len(bags[i] & bags[j]) >= 0.8 * len(bags[i] | bags[j])]
+    assert linked
+    chained = spark.createDataFrame(linked, "a binary, b binary").unionByName(open_.selectExpr("label a", "tid b"))
+    assert got == {bytes(r.node): bytes(r.label) for r in components.components(chained).collect()}
+
+
+@pytest.mark.parametrize("band_texts", [1, 3, 1000])
+def test_texts_of_a_band_are_chained_in_parts(spark, band_texts):
+    rows = [(b, rnd, bytes([rnd * 7 % 50]), 50) for b in (1, 2) for rnd in range(50)]
+    pairs = minhash.predecessors(spark.createDataFrame(rows, "band long, next long, tid binary, n long"), band_texts)
+    found = components.components(pairs).collect()
+    assert len(found) == 50 and {bytes(r.label) for r in found} == {bytes([0])}
+    assert pairs.count() < 150
+
+
 def test_texts_of_one_word_that_hash_alike_modulo_a_power_of_two_are_apart(spark):
     x, y = "a", "b"
     for _ in range(11):
