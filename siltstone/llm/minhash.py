@@ -40,6 +40,8 @@ HORIZON = 3.5
 BLOCK_ROWS, BLOCK_BYTES = 400, 2 << 20
 #: Texts of a band that are put in order by one task, about; larger bands are dealt into parts.
 BAND_TEXTS = 1000
+#: Shingles of several classes, of two numbers each, that are broadcast at most; more are joined.
+BROADCAST_ROWS = 200_000
 LENGTH_STEP = np.uint64(0xD1342543DE82EF95)
 ID_BITS = np.uint64(24)
 
@@ -190,7 +192,7 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float, width: int)
     return pairs.join(left, "b").join(right, "a").select("a", "b", "body_a", "body_b").mapInArrow(run, "a binary, b binary")
 
 
-def meetings(texts: DataFrame, similarity: float, width: int) -> DataFrame:
+def meetings(texts: DataFrame, similarity: float, width: int, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(tid, l, h): the shingles ``h`` of which any two linked texts (tid, body, label) of different labels have one in common, and a hash of the label.
 
     A text's shingles are put in one order for all texts: those that one label alone has, and then the
@@ -211,10 +213,12 @@ def meetings(texts: DataFrame, similarity: float, width: int) -> DataFrame:
 
     made = texts.select("tid", "body", F.xxhash64("label").alias("l")).mapInArrow(run, "tid binary, l long, n long, hashes array<long>, weights array<long>")
     each = made.select("tid", "l", "n", F.explode(F.arrays_zip("hashes", "weights")).alias("s")).select("tid", "l", "n", F.col("s.hashes").alias("h"), F.col("s.weights").alias("w"))
-    shared = each.groupBy("h").agg(F.count("*").alias("f"), F.min("l").alias("x"), F.max("l").alias("y")).where("x < y").select("h", "f")
-    before = Window.partitionBy("tid").orderBy(F.col("f").isNotNull(), "f", "h").rowsBetween(Window.unboundedPreceding, -1)
-    placed = each.join(shared, "h", "left").withColumn("rest", F.col("n") - F.coalesce(F.sum("w").over(before), F.lit(0)))
-    return placed.where(F.col("f").isNotNull() & (F.col("rest") >= F.col("n") * (similarity - 1e-9))).select("tid", "l", "h")
+    shared = cut(each.groupBy("h").agg(F.count("*").alias("f"), F.min("l").alias("x"), F.max("l").alias("y")).where("x < y").select("h", "f"))
+    if shared.count() <= broadcast_rows:
+        shared = F.broadcast(shared)
+    behind = Window.partitionBy("tid").orderBy(F.desc("f"), F.desc("h")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = each.join(shared, "h").withColumn("rest", F.sum("w").over(behind))
+    return placed.where(F.col("rest") >= F.col("n") * (similarity - 1e-9)).select("tid", "l", "h")
 
 
 def with_labels(rows: DataFrame, classes: DataFrame) -> DataFrame:

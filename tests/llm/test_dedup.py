@@ -283,8 +283,9 @@ def test_blocks_join_as_all_links_would(spark):
     assert all(got.get(bytes([d]), bytes([d])) == bytes([c]) for d, c, _, _ in want)
 
 
-@pytest.mark.parametrize("labels", [1, 7, 60])
-def test_open_texts_of_several_labels_are_joined_as_all_links_would(spark, labels):
+@pytest.mark.parametrize(("labels", "bound"), [(1, 100), (7, 0), (7, 10_000), (60, 0)])
+def test_open_texts_of_several_labels_are_joined_as_all_links_would(spark, labels, bound, monkeypatch):
+    monkeypatch.setattr(minhash.meetings, "__defaults__", (bound,))
     rnd = random.Random(labels)
     base = [[rnd.choice("abcdefgh") + str(k) for k in range(60)] for _ in range(4)]
     texts = []
