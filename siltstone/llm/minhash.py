@@ -15,8 +15,7 @@ whole texts by multiset overlap, and verified links give classes by connected co
 that share a band hash are still in different classes and not all pairs of them were tried, the
 rest is settled exactly by an inverted index: texts of different classes can only be linked if they meet
 in a rare shingle that several classes have, so texts without one are left out, and the others are
-compared in blocks of bounded size with those that they can meet, each of which reports a spanning
-star of its links and no pairs. So the pairing loses no link that the bands offer.
+compared in blocks of bounded size, each of which reports a spanning star of its links and no pairs. So the pairing loses no link that the bands offer.
 """
 
 from __future__ import annotations
@@ -274,19 +273,15 @@ def block_links(tids: list[bytes], bodies: pa.Array, similarity: float, width: i
 def settled(open_: DataFrame, texts: DataFrame, similarity: float, width: int, block_rows: int = BLOCK_ROWS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Links (a, b) that join open texts (band, tid, label) exactly as all their links would; texts of one label are joined already, and without that column none are.
 
-    Texts that meet in bands, directly or over others, and among these in a shingle that has to be met
-    (``meetings``) and that different labels have, form a group; a group is dealt into blocks by a hash,
-    and every two blocks of a group meet in one task. No pair leaves a task but those of a star for each
-    class that the task finds.
+    Texts without a shingle that has to be met (``meetings``) are left out. The others that meet in bands,
+    directly or over others, form a group; a group is dealt into blocks by a hash, and every two blocks
+    of a group meet in one task. No pair leaves a task but those of a star for each class that it finds.
     """
     named = (open_ if "label" in open_.columns else open_.withColumn("label", F.col("tid"))).select("tid", "label").distinct()
-    met = cut(meetings(texts.join(named, "tid"), similarity, width))
-    able = cut(open_.join(met.select("tid").distinct(), "tid").select("band", "tid"))
+    met = meetings(texts.join(named, "tid"), similarity, width).select("tid").distinct()
+    able = cut(open_.join(met, "tid").select("band", "tid"))
     first = able.groupBy("band").agg(F.min("tid").alias("a"), F.count("*").alias("n")).where("n > 1")
-    near = components(cut(able.join(first, "band").select("a", F.col("tid").alias("b")).distinct())).select(F.col("node").alias("tid"), F.col("label").alias("near"))
-    met = met.join(near, "tid")
-    lead = met.groupBy("near", "h").agg(F.min("tid").alias("a"), F.min("l").alias("x"), F.max("l").alias("y")).where("x < y").select("near", "h", "a")
-    groups = components(cut(met.join(lead, ["near", "h"]).select("a", F.col("tid").alias("b")).distinct()))
+    groups = components(cut(able.join(first, "band").select("a", F.col("tid").alias("b")).distinct()))
     sized = texts.join(groups, F.col("tid") == F.col("node")).select("tid", F.col("label").alias("grp"), "body")
     parts = sized.groupBy("grp").agg(F.greatest(F.ceil(F.count("*") / block_rows), F.ceil(F.sum(F.octet_length("body")) / block_bytes)).cast("int").alias("parts"))
     own = F.pmod(F.xxhash64("tid"), F.col("parts")).cast("int")
