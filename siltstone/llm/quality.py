@@ -27,8 +27,11 @@ GRAMS = (3, 4)
 DIM = 16
 #: Labelled rows of each class that the training reads at most, the first ones by a hash of the id.
 ROWS_PER_CLASS = 2000
+#: Bytes of text of each class that the training reads at most; rows are taken whole.
+BYTES_PER_CLASS = 64 << 20
 EPOCHS, RATE = 6, 2.0
-FIXED_POINT = 1 << 40
+#: A weight of 2**8 may be summed 2**31 times before 64 bits are full, so texts of gigabytes don't overflow.
+FIXED_POINT = 1 << 24
 THRESHOLD = 0.3
 
 
@@ -127,11 +130,13 @@ def train(rows: list[tuple[bytes, int]], prior: tuple[int, int], seed: int = 7,
     return Model(np.round(weights * FIXED_POINT).astype(np.int64), float(bias[1] - bias[0]) + shift)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows_per_class: int = ROWS_PER_CLASS) -> Model:
-    """Train on labelled rows whose id isn't held out; reads at most ``rows_per_class`` rows of each class.
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows_per_class: int = ROWS_PER_CLASS, bytes_per_class: int = BYTES_PER_CLASS) -> Model:
+    """Train on labelled rows whose id isn't held out; reads at most ``rows_per_class`` rows and ``bytes_per_class`` bytes of each class.
 
     Rows with a null id, or a label other than 0 and 1, teach nothing. Of repeated labels of one id
-    each counts for the prior and one, the lowest, is learned.
+    each counts for the prior and one, the lowest, is learned; of several texts of one id the least
+    in byte order is. Rows come in the order of a hash of the id; those after which the class would
+    hold more bytes than allowed are left out.
     """
     spark = docs.sparkSession
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("id").isNotNull() & ~held_out(F.col("id")))
@@ -143,11 +148,27 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if picked:
         wanted = spark.createDataFrame(sorted(picked.items()), "id long, y int")
         texts = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(F.col(text_col)).cast("binary").alias("body"))
-        found = {r["id"]: (bytes(r["body"]), r["y"]) for r in texts.join(F.broadcast(wanted), "id").collect()}
-        rows = [found[k] for k in sorted(found)]
+        found = texts.join(F.broadcast(wanted), "id")
+        # one row per picked id: lengths first, so that no more than the bound comes to the driver
+        length = {r["id"]: r["n"] for r in found.groupBy("id").agg(F.max(F.octet_length("body")).alias("n")).collect()}
+        if sum(length.values()) > bytes_per_class:
+            in_order = [r["id"] for r in wanted.where(F.col("id").isin(list(length))).orderBy(F.xxhash64("id"), "id").collect()]
+            kept = within(in_order, length, picked, bytes_per_class)
+            found = texts.join(F.broadcast(spark.createDataFrame([(k, picked[k]) for k in sorted(kept)], "id long, y int")), "id")
+        rows = [(bytes(r["body"]), r["y"]) for r in found.groupBy("id", "y").agg(F.min("body").alias("body")).orderBy("id").collect()]
     return train(rows, (prior.get(0, 0), prior.get(1, 0)))
 
 
+def within(ids: list[int], length: dict[int, int], label: dict[int, int], bound: int) -> set[int]:
+    """The ids, taken in order, whose lengths keep the sum of their label at ``bound`` or less."""
+    total, kept = [0, 0], set()
+    for k in ids:
+        if total[label[k]] + length[k] <= bound:
+            total[label[k]] += length[k]
+            kept.add(k)
+    return kept
+
+
 def held_out(id_column):
     """Every fifth row by the checksum of its id, kept for measuring."""
     return F.coalesce(F.crc32(id_column.cast("string").cast("binary")) % 5 == 0, F.lit(False))

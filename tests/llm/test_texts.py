@@ -490,3 +490,27 @@ def test_training_skips_held_out_rows(spark):
     docs = table(spark, [(k, "x") for k in range(50)])
     labels = spark.createDataFrame([(k, int(zlib.crc32(str(k).encode()) % 5 == 0)) for k in range(50)], "doc_id long, quality int")
     assert quality.score(docs, quality.fit(docs, labels)).agg(F.max("score")).first()[0] < 0.5
+
+
+def test_scores_of_very_long_texts():
+    model = quality.train([(t.encode(), y) for k in range(40) for t, y in ((f"A plain sentence about river {k} and its banks.", 1), (f"win win win cash cash {k}", 0))], (40, 40))
+    for text, good in (("A plain sentence about a river and its banks.\n", True), ("win win win cash cash\n", False)):
+        for times in (1, 1000, 200_000):
+            body = text.encode() * times
+            assert (model.scores(np.frombuffer(body, np.uint8), np.array([0, len(body)]))[0] >= 0.5) == good
+
+
+def test_training_doesnt_depend_on_the_order_of_repeated_ids(spark):
+    docs = [(k, f"{'good prose' if k % 2 else 'buy now'} {v} {k}") for k in range(60) for v in ("one", "two", "three")]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, quality int")
+    models = [quality.fit(spark.createDataFrame(d, "doc_id long, text string").repartition(n), labels) for d, n in ((docs, 1), (docs[::-1], 5))]
+    assert (models[0].table == models[1].table).all() and models[0].bias == models[1].bias
+
+
+def test_training_reads_whole_rows_within_its_bytes(spark):
+    assert quality.within([5, 1, 9, 3], {5: 6, 1: 6, 9: 4, 3: 10}, {5: 0, 1: 0, 9: 0, 3: 1}, 10) == {5, 9, 3}
+    docs = spark.createDataFrame([(k, f"{'fine words here' if k % 2 else 'spam'} {k}" * (100_000 if k == 4 else 1)) for k in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, quality int")
+    model = quality.fit(docs, labels, bytes_per_class=2000)
+    got = quality.score(docs, model).collect()
+    assert all(r.predicted == r.doc_id % 2 for r in got if r.doc_id != 4)
