@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,18 +40,34 @@ def chunks(batches: Iterator[pa.RecordBatch], column: int, limit: int = 1 << 20)
             part = batch.slice(row, end - row)
             yield part, *view(part.column(column))
             row = end
+    give_back()
+
+
+_LIBC = ctypes.CDLL(None)
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a Python worker outlives its task, and Spark may keep many."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):  # elsewhere the allocator does so by itself
+        _LIBC.malloc_trim(0)
 
 
 _POWERS: dict[str, np.ndarray] = {}
+#: Powers that a worker keeps; those for longer data are made anew.
+KEPT_POWERS = 1 << 20
 
 
 def powers(n: int, step: np.uint64, name: str) -> np.ndarray:
-    """step**0 .. step**(n-1) modulo 2**64; kept for later calls."""
-    if name not in _POWERS or len(_POWERS[name]) < n:
-        full = np.full(max(n, 1 << 16), step, np.uint64)
-        full[0] = 1
-        _POWERS[name] = np.multiply.accumulate(full)
-    return _POWERS[name][:n]
+    """step**0 .. step**(n-1) modulo 2**64; kept for later calls up to ``KEPT_POWERS``."""
+    if name in _POWERS and len(_POWERS[name]) >= n:
+        return _POWERS[name][:n]
+    full = np.full(max(n, 1 << 16), step, np.uint64)
+    full[0] = 1
+    made = np.multiply.accumulate(full)
+    if len(made) <= KEPT_POWERS:
+        _POWERS[name] = made
+    return made[:n]
 
 
 def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray) -> np.ndarray:

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bytesarrays import give_back
 from .common import shuffle_width, text_or_empty, without_rows
 
 #: Bytes, of texts and nodes, that a trie holds before it hands over its heaviest subtree.
@@ -164,6 +165,8 @@ def _batches(rows: Iterator, schema: pa.Schema, limit: int = 4 << 20) -> Iterato
             held, size = [], 0
     if held:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), schema.types, strict=True)], schema=schema)
+    held = []
+    give_back()
 
 
 def _fold(sign: int, limit: int):

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bytesarrays import byte_values, chunks, mix, runs, tabulated, view
+from .bytesarrays import byte_values, chunks, give_back, mix, runs, tabulated, view
 from .common import cut, shuffle_width, text_or_empty, without_rows
 from .components import components, ordered_pairs
 
@@ -37,6 +37,8 @@ ROWS, BANDS = 4, 24
 HORIZON = 3.5
 #: Texts and bytes of a block in which open texts are compared with each other, about.
 BLOCK_ROWS, BLOCK_BYTES = 400, 2 << 20
+#: Bytes of text whose shingles are in memory at a time (some 200 bytes for each byte), and pairs of texts compared at a time.
+CHUNK_BYTES, PAIRS = 1 << 18, 64
 #: Texts of a band that are put in order by one task, about; larger bands are dealt into parts.
 BAND_TEXTS = 1000
 #: Shingles of several classes, of two numbers each, that are broadcast at most; more are joined.
@@ -148,7 +150,7 @@ def banded(texts: DataFrame, width: int, rows: int, bands: int) -> DataFrame:
     out = pa.schema([("tid", pa.binary()), ("hashes", pa.list_(pa.int64()))])
 
     def run(batches):
-        for part, data, offsets in chunks(batches, 1):
+        for part, data, offsets in chunks(batches, 1, CHUNK_BYTES):
             n = len(offsets) - 1
             row, hashed = shingles(data, offsets, width)
             made = band_hashes(signatures(*multiset(row, hashed), n, rows * bands), rows).view(np.int64)
@@ -181,10 +183,11 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float, width: int)
 
     def run(batches):
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
+            for at in range(0, whole.num_rows, PAIRS):
+                batch = whole.slice(at, PAIRS)
                 good = pa.array(similarities(batch.column(2), batch.column(3), width) >= similarity)
                 yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], schema=out)
+        give_back()
 
     left = texts.select(F.col("tid").alias("b"), F.col("body").alias("body_b"))
     right = texts.select(F.col("tid").alias("a"), F.col("body").alias("body_a"))
@@ -203,7 +206,7 @@ def meetings(texts: DataFrame, similarity: float, width: int, broadcast_rows: in
     out = pa.schema([("tid", pa.binary()), ("l", pa.int64()), ("n", pa.int64()), ("hashes", pa.list_(pa.int64())), ("weights", pa.list_(pa.int64()))])
 
     def run(batches):
-        for part, data, offsets in chunks(batches, 1):
+        for part, data, offsets in chunks(batches, 1, CHUNK_BYTES):
             row, hashed, weight = multiset(*shingles(data, offsets, width))
             order = np.argsort(row, kind="stable")
             edges = pa.array(np.searchsorted(row[order], np.arange(len(offsets))).astype(np.int32))
@@ -304,6 +307,7 @@ def settled(open_: DataFrame, texts: DataFrame, similarity: float, width: int, b
                 tids.append(tid)
                 bodies.append(body)
         yield emit(tids, bodies)
+        give_back()
 
     return dealt.mapInArrow(run, "a binary, b binary").distinct()
 

@@ -22,6 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bytesarrays import give_back
 from .common import text_or_empty
 
 CAPACITY = 4096
@@ -253,6 +254,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
                     packer.rows = []
         packer.finish()
         yield _batch(packer.rows)
+        give_back()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(F.col(text_col)).alias("text"))
     return rows.mapInArrow(run, SCHEMA).withColumnRenamed("doc_id", id_col)

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from siltstone.llm import components, exact_dedup, line_dedup, minhash, suffix_dedup
+from siltstone.llm import bytesarrays, components, exact_dedup, line_dedup, minhash, suffix_dedup
 from siltstone.llm.bytesarrays import view
 
 SCHEMA = "doc_id long, text string, id string, body string, row string"
@@ -416,3 +416,11 @@ def test_anchors_depend_on_content_alone():
         inside = at - before
         found.append(set(inside[(inside >= 68) & (inside < 300)].tolist()))
     assert found[0] == found[1] == found[2] and len(found[0]) > 3
+
+
+def test_powers_of_long_data_are_not_kept(monkeypatch):
+    monkeypatch.setattr(bytesarrays, "KEPT_POWERS", 1 << 17)
+    monkeypatch.setattr(bytesarrays, "_POWERS", {})
+    long, short = (bytesarrays.powers(n, bytesarrays.STEP, "up") for n in (1 << 18, 100))
+    assert (long[:100] == short).all() and len(bytesarrays._POWERS["up"]) <= 1 << 17
+    assert int(long[7]) == pow(int(bytesarrays.STEP), 7, 1 << 64)
