@@ -131,6 +131,21 @@ ORACLE_SQL = {
         SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
                sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN n USING (doc_id) LEFT JOIN t USING (doc_id)""",
+    "op5_suffix_dedup": """
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+             g AS (SELECT doc_id, i, md5_number(substr(h, 2 * i + 1, 200)) AS k
+                   FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 99)) AS i FROM d)),
+             r AS (SELECT g.doc_id, i FROM g JOIN (SELECT k, min({'d': doc_id, 'i': i}) AS first FROM g GROUP BY k HAVING count(*) > 1) USING (k)
+                   WHERE {'d': doc_id, 'i': i} > first),
+             n AS (SELECT doc_id, i, coalesce(i > lag(i) OVER w + 100, true) AS new FROM r WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+             m AS (SELECT doc_id, i, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM n),
+             s AS (SELECT doc_id, min(i) AS b, max(i) + 100 AS e FROM m GROUP BY doc_id, span),
+             t AS (SELECT doc_id, b, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY b), 0) AS before FROM s),
+             x AS (SELECT doc_id, sum(e - b) AS n_removed, count(*) AS n_spans, max(e) AS last,
+                          string_agg(substr(h, 2 * before + 1, 2 * (b - before)), '' ORDER BY b) AS kept FROM t JOIN d USING (doc_id) GROUP BY doc_id)
+        SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans,
+               sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+        FROM d LEFT JOIN x USING (doc_id)""",
     "op7_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
