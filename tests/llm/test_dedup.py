@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from siltstone.llm import bytesarrays, components, exact_dedup, line_dedup, minhash, suffix_dedup
+from siltstone.llm import bytesarrays, components, exact_dedup, line_dedup, minhash, queries, suffix_dedup
 from siltstone.llm.bytesarrays import view
 
 SCHEMA = "doc_id long, text string, id string, body string, row string"
@@ -424,3 +424,13 @@ def test_powers_of_long_data_are_not_kept(monkeypatch):
     long, short = (bytesarrays.powers(n, bytesarrays.STEP, "up") for n in (1 << 18, 100))
     assert (long[:100] == short).all() and len(bytesarrays._POWERS["up"]) <= 1 << 17
     assert int(long[7]) == pow(int(bytesarrays.STEP), 7, 1 << 64)
+
+
+def test_suffix_dedup_equals_its_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    con.execute("CREATE VIEW documents AS SELECT * FROM read_parquet('/root/testdata/sf0.001/documents.parquet')")
+    found = con.execute(queries.ORACLE_SQL["op5_suffix_dedup"])
+    names = [c[0] for c in found.description]
+    got = queries.op5_suffix_dedup(spark, "/root/testdata/sf0.001").select(*names).collect()
+    assert sorted(map(tuple, got)) == sorted(found.fetchall())
